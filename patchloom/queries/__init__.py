@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("compaction",)
+SUBJECTS = ("statistics", "compaction")
 
 
 def _all(name: str) -> dict:
