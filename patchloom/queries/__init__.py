@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("statistics", "compaction")
+SUBJECTS = ("statistics", "imaging", "features", "learning", "compaction")
 
 
 def _all(name: str) -> dict:
