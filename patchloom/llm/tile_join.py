@@ -12,13 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from patchloom.llm.vectors import planes, unit_rows
 from patchloom.shared import materialize
 
 BLOCK, GROUP = 2048, 32768
+#: Rows of a product tile: small ones are still in the cache when they are compared; large ones join more at once.
+STRIP, LINK_STRIP = 1024, 4096
 #: float32 arithmetic over a few hundred elements of unit vectors.
 FLOAT_ERROR = 4e-6
+#: Half a step of 16-bit values of at most 1, in each element, at the very most.
+HALF_STEP = 1.6e-5
 #: Pairs a heap keeps beyond its k because the 16-bit values can't tell them from the k-th.
 EXTRA = 11
 
@@ -61,6 +66,14 @@ class _Block:
         self.fine = (hi * 256 + lo) * step[:, None].astype(np.float32)
 
 
+def _recomputed(a: np.ndarray, r: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r), np.float32)
+    for at in range(0, len(r), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        out[part] = np.einsum("ij,ij->i", a[r[part]], b[c[part]])
+    return out
+
+
 class _Rows:
     """The blocks that stay in a task."""
 
@@ -68,58 +81,48 @@ class _Rows:
         for c in ("ids", "e8", "e16", "coarse", "fine"):
             setattr(self, c, np.concatenate([getattr(b, c) for b in own]))
 
-    def survivors(self, lo: int, hi: int, block: _Block, least: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows lo..hi against the block: (row, column, int8 similarity, its error bound) where the true similarity may reach least."""
+    def product(self, lo: int, hi: int, block: _Block, buffer: np.ndarray) -> np.ndarray:
         tile = buffer[: (hi - lo) * len(block.ids)].reshape(hi - lo, len(block.ids))
-        np.matmul(self.coarse[lo:hi], block.coarse.T, out=tile)
-        worst = block.e8.max()
-        bound = self.e8[lo:hi] * (1 + worst) + worst + FLOAT_ERROR
-        flat = np.flatnonzero(tile >= (least[lo:hi] - bound).astype(np.float32)[:, None])
-        r, c = np.divmod(flat, len(block.ids))
-        return r + lo, c, tile.ravel()[flat], bound[r]
-
-    def recompute(self, r: np.ndarray, c: np.ndarray, block: _Block) -> np.ndarray:
-        out = np.empty(len(r), np.float32)
-        for at in range(0, len(r), 1 << 15):
-            part = slice(at, at + (1 << 15))
-            out[part] = np.einsum("ij,ij->i", self.fine[r[part]], block.fine[c[part]])
-        return out
+        return np.matmul(self.coarse[lo:hi], block.coarse.T, out=tile)
 
     def error(self, block: _Block) -> float:
         a, b = self.e16.max(), block.e16.max()
         return a * (1 + b) + b + FLOAT_ERROR
 
 
+def _bounds(errors: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What an int8 similarity may miss, for each row against any row of the other side."""
+    worst = others.max()
+    return errors * (1 + worst) + worst + FLOAT_ERROR
+
+
+def _at_least(tile: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(tile >= least.astype(np.float32)), tile.shape[1])
+
+
 class _Heaps:
-    """The k best of each row and what can't be told from the k-th, merged tile by tile."""
+    """The k best of each of some rows and what can't be told from the k-th, merged tile by tile."""
 
-    def __init__(self, rows: _Rows, k: int, floor: float):
-        self.rows, self.k, self.floor, self.error = rows, k, floor, 0.0
-        self.best = np.full((len(rows.ids), k), -2.0, np.float32)
+    def __init__(self, ids: np.ndarray, k: int, floor: float, error: float = 0.0):
+        self.ids, self.k, self.floor, self.error = ids, k, floor, error
+        self.best = np.full((len(ids), k), -2.0, np.float32)
         self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
     def least(self) -> np.ndarray:
         return np.maximum(self.best[:, -1] - 2 * self.error, self.floor - self.error)
 
-    def add(self, lo: int, hi: int, block: _Block, buffer: np.ndarray) -> None:
-        rows = self.rows
-        self.error = max(self.error, rows.error(block))
-        least = self.least()
-        r, c, _, _ = rows.survivors(lo, hi, block, least, buffer)
-        if len(r) > (hi - lo) * len(block.ids) // 16:  # most of the tile: one more product costs less than picking
-            rs, cs = np.unique(r), np.unique(c)
-            dense = rows.fine[rs] @ block.fine[cs].T
-            dense[rows.ids[rs][:, None] == block.ids[cs][None, :]] = -2
-            keep = min(self.k + EXTRA, len(cs))
-            top = np.argpartition(-dense, keep - 1, axis=1)[:, :keep]
-            s, r, c = np.take_along_axis(dense, top, 1).ravel(), np.repeat(rs, keep), cs[top].ravel()
-        else:
-            s = rows.recompute(r, c, block)
-        held = (s >= least[r]) & (rows.ids[r] != block.ids[c]) & (s > -2)
-        self.merge(r[held], block.ids[c[held]], s[held])
+    def take_best(self, r: np.ndarray, dense: np.ndarray, other_ids: np.ndarray) -> None:
+        """Similarities of the rows r to all of the other side."""
+        keep = min(self.k + EXTRA, dense.shape[1])
+        top = np.argpartition(-dense, keep - 1, axis=1)[:, :keep]
+        s, at, c = np.take_along_axis(dense, top, 1).ravel(), np.repeat(r, keep), top.ravel()
+        held = s >= self.least()[at]
+        self.merge(at[held], other_ids[c[held]], s[held])
 
     def merge(self, r: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        real = s > -2
+        r, ids, s = r[real], ids[real], s[real]
         if not len(r):
             return
         order = np.lexsort((-s, r))
@@ -132,7 +135,7 @@ class _Heaps:
         keep = (rank < self.k + EXTRA) & (s >= self.least()[r])
         self.pool.append((r[keep], ids[keep], s[keep]))
         self.waiting += int(keep.sum())
-        if self.waiting > 1_000_000 + 4 * self.k * len(self.rows.ids):
+        if self.waiting > 1_000_000 + 4 * self.k * len(self.ids):
             self.shrink()
 
     def shrink(self) -> None:
@@ -149,7 +152,7 @@ class _Heaps:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.shrink()
         r, ids, s = self.pool[0]
-        return self.rows.ids[r], ids, s.astype(np.float64)
+        return self.ids[r], ids, s.astype(np.float64)
 
 
 def _rank(r: np.ndarray) -> np.ndarray:
@@ -158,6 +161,57 @@ def _rank(r: np.ndarray) -> np.ndarray:
     return np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
 
 
+class _Searches:
+    """Heaps of the rows that stay, and, block by block, of the blocks that pass: each tile serves both sides."""
+
+    def __init__(self, rows: _Rows, k: int, floor: float):
+        self.rows, self.heaps = rows, _Heaps(rows.ids, k, floor)
+
+    def meet(self, block: _Block, own: bool, buffer: np.ndarray):
+        """own: the block is among the rows that stay, so its rows have their heaps already."""
+        rows, heaps = self.rows, self.heaps
+        heaps.error = max(heaps.error, rows.error(block))
+        passing = None if own else _Heaps(block.ids, heaps.k, heaps.floor, heaps.error)
+        for lo in range(0, len(rows.ids), STRIP):
+            self.strip(lo, min(lo + STRIP, len(rows.ids)), block, passing, buffer)
+        return None if passing is None else passing.result()
+
+    def strip(self, lo: int, hi: int, block: _Block, passing: _Heaps | None, buffer: np.ndarray) -> None:
+        rows, heaps = self.rows, self.heaps
+        tile = rows.product(lo, hi, block, buffer)
+        least_r = heaps.least()[lo:hi]
+        least_c = np.full(len(block.ids), np.inf) if passing is None else passing.least()
+        if heaps.floor > -1:  # few pairs reach the floor: one cheap pass, then each pair by its own bounds
+            flat = np.flatnonzero(tile >= np.float32(min(least_r.min(), least_c.min()) - _bounds(rows.e8[lo:hi], block.e8).max()))
+        else:
+            mask = tile >= (least_r - _bounds(rows.e8[lo:hi], block.e8)).astype(np.float32)[:, None]
+            if passing is not None:
+                mask |= tile >= (least_c - _bounds(block.e8, rows.e8[lo:hi])).astype(np.float32)[None, :]
+            flat = np.flatnonzero(mask)
+        r, c = np.divmod(flat, tile.shape[1])
+        a, b = rows.e8[lo:hi][r], block.e8[c]
+        reach = tile.ravel()[flat] + (a * (1 + b) + b + FLOAT_ERROR)
+        alive = (reach >= least_r[r]) | (reach >= least_c[c])
+        r, c = r[alive], c[alive]
+        if len(r) > tile.size // 16:  # a large share of the tile: one more product costs less than picking
+            fine = rows.fine[lo:hi] @ block.fine.T
+            fine[rows.ids[lo:hi][:, None] == block.ids[None, :]] = -2
+            heaps.take_best(lo + np.arange(hi - lo), fine, block.ids)
+            if passing is not None:
+                passing.take_best(np.arange(len(block.ids)), fine.T, rows.ids[lo:hi])
+            return
+        s = _recomputed(rows.fine, r + lo, block.fine, c)
+        s[rows.ids[r + lo] == block.ids[c]] = -2
+        held = s >= least_r[r]
+        heaps.merge(r[held] + lo, block.ids[c[held]], s[held])
+        if passing is not None:
+            held = s >= least_c[c]
+            passing.merge(c[held], rows.ids[r[held] + lo], s[held])
+
+    def result(self):
+        return self.heaps.result()
+
+
 class _Forest:
     """A maximum spanning forest of the links at or above the floor, tile by tile."""
 
@@ -166,13 +220,18 @@ class _Forest:
         self.label = np.arange(len(rows.ids))
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def meet(self, block: _Block, own: bool, buffer: np.ndarray) -> None:
+        for lo in range(0, len(self.rows.ids), LINK_STRIP):
+            self.add(lo, min(lo + LINK_STRIP, len(self.rows.ids)), block, buffer)
+
     def add(self, lo: int, hi: int, block: _Block, buffer: np.ndarray) -> None:
         rows = self.rows
         error = rows.error(block)
-        r, c, s, bound = rows.survivors(lo, hi, block, np.full(len(rows.ids), self.floor), buffer)
+        tile, bounds = rows.product(lo, hi, block, buffer), _bounds(rows.e8[lo:hi], block.e8)
+        r, c = _at_least(tile, (self.floor - bounds)[:, None])
+        s, bound, r = tile[r, c].astype(np.float64), bounds[r], r + lo
         unsure = np.flatnonzero(s - bound < self.floor)
-        s = s.astype(np.float64)
-        s[unsure] = rows.recompute(r[unsure], c[unsure], block)
+        s[unsure] = _recomputed(rows.fine, r[unsure], block.fine, c[unsure])
         sharp = np.flatnonzero(np.abs(s[unsure] - self.floor) <= error)
         held = np.ones(len(r), bool)
         held[unsure] = s[unsure] >= self.floor + error
@@ -214,28 +273,30 @@ class _Forest:
         return tuple(np.concatenate(x) for x in zip(*self.links, strict=True))
 
 
-def _streamed(packed: DataFrame, parts: int, dim: int, collect, halves: bool) -> DataFrame:
-    """Every part's blocks, in one task, against all blocks (halves: against half of the other parts, so each two parts meet once)."""
+def _streamed(packed: DataFrame, parts: int, dim: int, collect) -> DataFrame:
+    """Every part's blocks, in one task, against themselves and the blocks of half of the other parts: each two parts meet once."""
     columns = ("ids", "hi", "lo", "step", "e8", "e16")
     own = packed.withColumn("target", F.col("part")).withColumn("kind", F.lit(0))
-    near = F.sequence(F.lit(1), F.lit(max(parts - 1, 1)))
-    if halves:  # part p is sent to the parts 1 .. parts/2 before it, around the ring
-        near = F.transform(F.sequence(F.lit(1), F.lit(max(parts // 2, 1))), lambda d: d)
-    far = packed.withColumn("shift", F.explode(near)).withColumn("target", F.pmod(F.col("part") + F.col("shift"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(1))
-    if halves and parts % 2 == 0:
-        far = far.where((F.col("shift") < parts // 2) | (F.col("part") < F.col("target")))
-    far = far.where("part != target").drop("shift")
+    # around a ring, part p is sent to the parts 1 .. parts/2 behind it; at exactly half way only one of the two is
+    far = packed.withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(max(parts // 2, 1)))))
+    far = far.withColumn("target", F.pmod(F.col("part") + F.col("shift"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(1))
+    far = far.where("part != target").where((F.col("shift") * 2 < parts) | (F.col("part") < F.col("target"))).drop("shift")
     sent = own.unionByName(far).select("target", "kind", *columns).repartitionById(parts, F.col("target")).sortWithinPartitions("kind")
 
     def run(batches):
-        own_, found, buffer = [], None, np.empty(BLOCK * BLOCK * 2, np.float32)
+        own_, found, buffer = [], None, np.empty(max(STRIP, LINK_STRIP) * BLOCK, np.float32)
 
-        def meet(block):
-            for lo in range(0, len(found.rows.ids), 2 * BLOCK):
-                found.add(lo, min(lo + 2 * BLOCK, len(found.rows.ids)), block, buffer)
+        def rows(result):
+            a, b, s = result
+            for at in range(0, len(a), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), pa.array(s[part], pa.float64())], names=["class_a", "class_b", "near"])
 
         def start():
             made = collect(_Rows(own_))
+            for b in own_:
+                made.meet(b, True, buffer)
+            own_.clear()
             return made
 
         for batch in batches:
@@ -244,21 +305,16 @@ def _streamed(packed: DataFrame, parts: int, dim: int, collect, halves: bool) ->
                 if row["kind"] == 0:
                     own_.append(block)
                     continue
-                if found is None:
-                    found = start()
-                    for b in own_:
-                        meet(b)
-                    own_ = []
-                meet(block)
+                if found is None and not own_:  # a part without rows has nothing to compare
+                    continue
+                found = found or start()
+                got = found.meet(block, False, buffer)
+                if got is not None:
+                    yield from rows(got)
         if found is None and own_:
             found = start()
-            for b in own_:
-                meet(b)
         if found is not None:
-            a, b, s = found.result()
-            for at in range(0, len(a), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), pa.array(s[part], pa.float64())], names=["class_a", "class_b", "near"])
+            yield from rows(found.result())
 
     spark = packed.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -271,10 +327,14 @@ def _streamed(packed: DataFrame, parts: int, dim: int, collect, halves: bool) ->
 
 
 def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, group: int = GROUP) -> DataFrame:
-    """(class_a, class_b, near): for each class its k most similar others with a similarity of floor or more, and those the
-    16-bit values can't tell from the k-th (at most EXTRA); near: the similarity, up to the error of 16-bit values."""
+    """(class_a, class_b): for each class its k most similar others with a similarity of floor or more, and those the 16-bit
+    values can't tell from the k-th (at most EXTRA). The heaps a class has in several tasks are merged here."""
     packed, parts = blocks(classes, dim, group)
-    return _streamed(packed, parts, dim, lambda rows: _Heaps(rows, k, floor), halves=False)
+    near = _streamed(packed, parts, dim, lambda rows: _Searches(rows, k, floor))
+    order = W.partitionBy("class_a").orderBy(F.desc("near"), "class_b")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + EXTRA)
+    kth = F.min(F.when(F.col("rank") <= k, F.col("near"))).over(W.partitionBy("class_a"))
+    return ranked.withColumn("kth", kth).where(F.col("near") >= F.col("kth") - 4 * (HALF_STEP * dim**0.5 + FLOAT_ERROR)).select("class_a", "class_b")
 
 
 def spanning_links(classes: DataFrame, dim: int, floor: float, group: int = GROUP) -> DataFrame:
@@ -283,4 +343,4 @@ def spanning_links(classes: DataFrame, dim: int, floor: float, group: int = GROU
     Each part gives a maximum spanning forest of its links to each block, so at most a link for each row and part.
     """
     packed, parts = blocks(classes, dim, group)
-    return _streamed(packed, parts, dim, lambda rows: _Forest(rows, floor), halves=True)
+    return _streamed(packed, parts, dim, lambda rows: _Forest(rows, floor))
