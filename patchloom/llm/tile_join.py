@@ -239,6 +239,20 @@ class _Forest:
             self.links.append((rows.ids[r[at : at + 1]], block.ids[c[at : at + 1]], s[at : at + 1]))
         held &= rows.ids[r] != block.ids[c]
         r, c, s = r[held], c[held], s[held]
+        # columns that meet one part of the rows only give their best link and can't join parts
+        name, best = self.label[r], np.full(len(block.ids), -2.0)
+        low, high = np.full(len(block.ids), len(self.label)), np.full(len(block.ids), -1)
+        np.minimum.at(low, c, name)
+        np.maximum.at(high, c, name)
+        np.maximum.at(best, c, s)
+        settled = low[c] == high[c]
+        top = np.flatnonzero(settled & (s == best[c]))
+        top = top[np.unique(c[top], return_index=True)[1]]
+        self.links.append((rows.ids[r[top]], block.ids[c[top]], s[top]))
+        open_ = ~settled
+        r, c, s = r[open_], c[open_], s[open_]
+        if not len(r):
+            return
         order = np.argsort(-s, kind="stable")
         r, c, s = r[order], c[order], s[order]
         n = len(self.label)
