@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from patchloom.shared import materialize, mix64, spread
 
@@ -102,11 +103,14 @@ def _anchor_table(docs: DataFrame, span: int, k: int) -> DataFrame:
 
 
 def _shared_anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """Anchors of at least two different texts: (anchor, text_id, pos, link), each position once. One shuffle serves all."""
+    """Anchors of at least two different texts: (anchor, text_id, pos, link), each position once, written to the shared folder.
+
+    The texts are scanned and the anchors shuffled once; of what is shuffled only the few shared anchors go on.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _anchor_table(docs, span, k).repartition(n, "anchor")
-    twice = found.groupBy("anchor").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("anchor")
-    return found.join(twice, "anchor").groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link"))
+    of = W.partitionBy("anchor")
+    found = _anchor_table(docs, span, k).repartition(n, "anchor").withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of))
+    return materialize(found.where("lo < hi").groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
 
 
 def _meetings(shared: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
     several documents have, all of it counts if it has `span` characters. Only windows over an anchor that two texts
     share can be common, so only their hashes are compared.
     """
-    shared = materialize(_shared_anchors(docs, span, k).select("text_id", "pos").distinct(), "span-anchors")
+    shared = _shared_anchors(docs, span, k).select("text_id", "pos").distinct()
     wanted = shared.groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id")
     held = spread(wanted.join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at"), "text_id")
 
