@@ -94,7 +94,7 @@ def packed(items: DataFrame, capacity: int = 2048, windows: int = WINDOWS, merge
         made = left.groupBy("team").applyInPandas(lambda team, pdf: _merge(pdf, capacity, windows).assign(team=team[0]), "container long, into long, used long, going_on boolean, team long")
         made = materialize(made, "packed-merge")
         step = made.select("container", "into")
-        moves = step if moves is None else moves.join(step.withColumnRenamed("container", "into").withColumnRenamed("into", "next"), "into", "left").select("container", F.coalesce("next", "into").alias("into"))
+        moves = step if moves is None else moves.join(step.select(F.col("container").alias("into"), F.col("into").alias("next")), "into", "left").select("container", F.coalesce("next", "into").alias("into"))
         if teams < merged:
             break
         left = made.where("going_on").select(F.col("into").alias("container"), "used", "team").distinct()
