@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("statistics", "imaging", "features", "learning", "files", "compaction")
+SUBJECTS = ("statistics", "imaging", "features", "learning", "files", "relational", "compaction")
 
 
 def _all(name: str) -> dict:

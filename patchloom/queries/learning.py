@@ -163,10 +163,10 @@ area as (select {by} tp * (ctp / cn + case when cn > n then (ctp - tp) / (cn - n
 """
 ORACLES = {
     "O2_loss_l2": _loss_sql("(s - y) * (s - y)", "2 * (s - y)"), "O2_loss_l2_weighted": _loss_sql("(s - y) * (s - y)", "2 * (s - y)", w="weight"),
-    "O3_loss_hinge": _loss_sql(_M, f"case when {_M} > 0 then -y else 0 end"), "O4_loss_squared_hinge": _loss_sql(f"{_M} * {_M}", f"-2 * y * {_M}"), "O4_loss_squared_hinge_weighted": _loss_sql(f"{_M} * {_M}", f"-2 * y * {_M}", w="weight"),
+    "O3_loss_hinge": _loss_sql(_M, f"case when {_M} > 0 then -y::double else 0.0::double end"), "O4_loss_squared_hinge": _loss_sql(f"{_M} * {_M}", f"-2 * y * {_M}"), "O4_loss_squared_hinge_weighted": _loss_sql(f"{_M} * {_M}", f"-2 * y * {_M}", w="weight"),
     "O5_loss_bnll": _loss_sql("ln(1 + exp(least(-y * s, 100)))", "-y * exp(least(-y * s, 100)) / (1 + exp(least(-y * s, 100)))"), "O6_loss_multiclass_logistic": _LOGISTIC,
     "O7_reg_l2": X + SCORES + f"select {r6('sum(w * w)')} as f, {r6('sum(abs(2 * w))')} as gradient from w",
-    "O8_reg_l1": X + SCORES + f"select {r6('sum(abs(w))')} as f, {r6('sum(case when w = 0 then 0.5 else 1.0 end)')} as gradient from w",
+    "O8_reg_l1": X + SCORES + f"select {r6('sum(abs(w))')} as f, {r6('sum(case when w = 0 then 0.5 else 1.0 end)::double')} as gradient from w",
     "O9_reg_elastic": X + SCORES + f"select {r6('sum(0.3 * abs(w) + 0.7 * w * w)')} as f, {r6('sum(abs(0.3 * case when w = 0 then 0.5 else sign(w) end + 1.4 * w))')} as gradient from w",
     "O11_objective": X + _Y.format(fill="-1.0") + f""", n as (select count(*)::double as n from emb), m as (select *, {_M} as m from yp), gw as (select j, k, sum(v * -2 * y * m) / (select n from n) as g from m join x using (vec_id) group by j, k)
 select 0::bigint as j, round(sum(m * m) / (select n from n) + 0.01 * (select sum(w * w) from w), 6) as gradient from m union all

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_RUN = uuid.uuid4().hex[:12]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +30,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/patchloom/{label}-{uuid.uuid4().hex}"
+    """A new place for a table of this process. Tables stay while results may need them; clear() removes them."""
+    return f"{scratch_dir(spark)}/patchloom-{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. DataFrames made by its operators can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/patchloom-{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,11 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Few small input files make few tasks; CPU-bound Python stages over them get a task for each core at least."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *columns)
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose tasks are fewer than the cores is cut finer for the CPU-bound stage that follows; others stay as they are."""
+    context = scan.sparkSession.sparkContext
+    if scan.rdd.getNumPartitions() >= context.defaultParallelism:
+        return scan
+    return scan.repartition(context.defaultParallelism * 2)
 
 
 def mix64(z: np.ndarray) -> np.ndarray:
