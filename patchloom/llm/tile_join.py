@@ -18,8 +18,8 @@ from patchloom.llm.vectors import planes, unit_rows
 from patchloom.shared import materialize
 
 BLOCK, GROUP = 2048, 32768
-#: Rows of a product tile: small ones are still in the cache when they are compared; large ones join more at once.
-STRIP, LINK_STRIP = 1024, 4096
+#: Rows of a product tile: what is compared is still in the cache.
+STRIP = 1024
 #: float32 arithmetic over a few hundred elements of unit vectors.
 FLOAT_ERROR = 4e-6
 #: Half a step of 16-bit values of at most 1, in each element, at the very most.
@@ -96,10 +96,6 @@ def _bounds(errors: np.ndarray, others: np.ndarray) -> np.ndarray:
     return errors * (1 + worst) + worst + FLOAT_ERROR
 
 
-def _at_least(tile: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.divmod(np.flatnonzero(tile >= least.astype(np.float32)), tile.shape[1])
-
-
 class _Heaps:
     """The k best of each of some rows and what can't be told from the k-th, merged tile by tile."""
 
@@ -213,7 +209,7 @@ class _Searches:
 
 
 class _Forest:
-    """A maximum spanning forest of the links at or above the floor, tile by tile."""
+    """A spanning forest of the links at or above the floor, tile by tile, the strongest of a tile first."""
 
     def __init__(self, rows: _Rows, floor: float):
         self.rows, self.floor = rows, floor
@@ -221,42 +217,45 @@ class _Forest:
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def meet(self, block: _Block, own: bool, buffer: np.ndarray) -> None:
-        for lo in range(0, len(self.rows.ids), LINK_STRIP):
-            self.add(lo, min(lo + LINK_STRIP, len(self.rows.ids)), block, buffer)
+        part = np.full(len(block.ids), -1)  # the part of the rows that each of the block's vectors is linked to
+        for lo in range(0, len(self.rows.ids), STRIP):
+            part = self.strip(lo, min(lo + STRIP, len(self.rows.ids)), block, part, buffer)
 
-    def add(self, lo: int, hi: int, block: _Block, buffer: np.ndarray) -> None:
-        rows = self.rows
+    def strip(self, lo: int, hi: int, block: _Block, part: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+        rows, n = self.rows, len(self.label)
         error = rows.error(block)
-        tile, bounds = rows.product(lo, hi, block, buffer), _bounds(rows.e8[lo:hi], block.e8)
-        r, c = _at_least(tile, (self.floor - bounds)[:, None])
-        s, bound, r = tile[r, c].astype(np.float64), bounds[r], r + lo
+        tile = rows.product(lo, hi, block, buffer)
+        flat = np.flatnonzero(tile >= np.float32(self.floor - _bounds(rows.e8[lo:hi], block.e8).max()))
+        r, c = np.divmod(flat, tile.shape[1])
+        s = tile.ravel()[flat].astype(np.float64)
+        r += lo
+        bound = rows.e8[r] * (1 + block.e8[c]) + block.e8[c] + FLOAT_ERROR
         unsure = np.flatnonzero(s - bound < self.floor)
         s[unsure] = _recomputed(rows.fine, r[unsure], block.fine, c[unsure])
-        sharp = np.flatnonzero(np.abs(s[unsure] - self.floor) <= error)
+        near = unsure[np.abs(s[unsure] - self.floor) <= error]  # too close to tell: all of them go on to the exact check
+        self.links.append((rows.ids[r[near]], block.ids[c[near]], s[near]))
         held = np.ones(len(r), bool)
-        held[unsure] = s[unsure] >= self.floor + error
-        for at in unsure[sharp]:  # within the error of the threshold: all of them go on to the exact check
-            self.links.append((rows.ids[r[at : at + 1]], block.ids[c[at : at + 1]], s[at : at + 1]))
+        held[unsure] = s[unsure] > self.floor + error
         held &= rows.ids[r] != block.ids[c]
         r, c, s = r[held], c[held], s[held]
-        # columns that meet one part of the rows only give their best link and can't join parts
-        name, best = self.label[r], np.full(len(block.ids), -2.0)
-        low, high = np.full(len(block.ids), len(self.label)), np.full(len(block.ids), -1)
+        # vectors that meet one part of the rows only give their best link, unless they have one, and can't join parts
+        name, best = self.label[r], np.full(len(part), -2.0)
+        low, high = np.where(part < 0, n, part), part.copy()
         np.minimum.at(low, c, name)
         np.maximum.at(high, c, name)
         np.maximum.at(best, c, s)
         settled = low[c] == high[c]
-        top = np.flatnonzero(settled & (s == best[c]))
+        top = np.flatnonzero(settled & (part[c] < 0) & (s == best[c]))
         top = top[np.unique(c[top], return_index=True)[1]]
         self.links.append((rows.ids[r[top]], block.ids[c[top]], s[top]))
-        open_ = ~settled
-        r, c, s = r[open_], c[open_], s[open_]
-        if not len(r):
-            return
+        part = part.copy()
+        part[c[top]] = low[c[top]]
+        if settled.all():
+            return part
+        r, c, s = r[~settled], c[~settled], s[~settled]
         order = np.argsort(-s, kind="stable")
         r, c, s = r[order], c[order], s[order]
-        n = len(self.label)
-        label = np.concatenate((self.label, n + np.arange(len(block.ids))))
+        label = np.concatenate((self.label, np.where(part < 0, n + np.arange(len(part)), part)))
         while True:
             a, b = label[r], label[n + c]
             open_ = a != b
@@ -267,9 +266,8 @@ class _Forest:
             both[0::2], both[1::2] = a, b
             who, first = np.unique(both, return_index=True)  # links come best first, so this is each part's best link
             pick = first // 2
-            to = np.where(a[pick] == who, b[pick], a[pick])
-            parent = np.arange(n + len(block.ids))
-            parent[who] = to
+            parent = np.arange(len(label))
+            parent[who] = np.where(a[pick] == who, b[pick], a[pick])
             mutual = parent[parent] == np.arange(len(parent))
             parent[mutual] = np.minimum(parent[mutual], np.flatnonzero(mutual))
             while (parent[parent] != parent).any():
@@ -277,9 +275,12 @@ class _Forest:
             label = parent[label]
             used = np.unique(pick)
             self.links.append((rows.ids[r[used]], block.ids[c[used]], s[used]))
-        # columns leave; a row part that is named after a column is renamed after one of its rows
+        # the block leaves: a part is named after its first row
         name, at = np.unique(label[:n], return_index=True)
-        self.label = at[np.searchsorted(name, label[:n])]
+        named = np.full(len(label), -1)
+        named[name] = at
+        self.label = named[label[:n]]
+        return named[label[n:]]
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.links:
@@ -298,7 +299,7 @@ def _streamed(packed: DataFrame, parts: int, dim: int, collect) -> DataFrame:
     sent = own.unionByName(far).select("target", "kind", *columns).repartitionById(parts, F.col("target")).sortWithinPartitions("kind")
 
     def run(batches):
-        own_, found, buffer = [], None, np.empty(max(STRIP, LINK_STRIP) * BLOCK, np.float32)
+        own_, found, buffer = [], None, np.empty(STRIP * BLOCK, np.float32)
 
         def rows(result):
             a, b, s = result
@@ -354,7 +355,7 @@ def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, gro
 def spanning_links(classes: DataFrame, dim: int, floor: float, group: int = GROUP) -> DataFrame:
     """(class_a, class_b, near): links that connect what all pairs with a similarity of floor or more connect.
 
-    Each part gives a maximum spanning forest of its links to each block, so at most a link for each row and part.
+    Each part gives a spanning forest of its links to all blocks it meets, so at most a link for each row and part.
     """
     packed, parts = blocks(classes, dim, group)
     return _streamed(packed, parts, dim, lambda rows: _Forest(rows, floor))
