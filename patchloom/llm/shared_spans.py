@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from patchloom.shared import materialize, mix64, spread
+from patchloom.shared import materialize, mix64
 
 SPAN, GRAM = 120, 64
 #: Longer texts are cut into pieces of this many characters that overlap by a span.
@@ -107,9 +107,8 @@ def _shared_anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
 
     The texts are scanned and the anchors shuffled once; of what is shuffled only the few shared anchors go on.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = W.partitionBy("anchor")
-    found = _anchor_table(docs, span, k).repartition(n, "anchor").withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of))
+    found = _anchor_table(docs, span, k).withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of))
     return materialize(found.where("lo < hi").groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
 
 
@@ -190,7 +189,7 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
     """
     shared = _shared_anchors(docs, span, k).select("text_id", "pos").distinct()
     wanted = shared.groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id")
-    held = spread(wanted.join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at"), "text_id")
+    held = wanted.join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at")
 
     def windows(batches):
         for batch in batches:
@@ -205,10 +204,10 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
                     part = slice(lo, lo + 65536)
                     yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(len(h[part]), i)), pa.array(starts[part])], names=["window", "text_id", "start"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = held.mapInArrow(windows, "window long, text_id long, start long").repartition(n, "window")
-    twice = seen.groupBy("window").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("window")
-    starts = seen.join(twice, "window").groupBy("text_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    of = W.partitionBy("window")
+    seen = held.mapInArrow(windows, "window long, text_id long, start long")
+    seen = seen.withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of)).where("lo < hi")
+    starts = seen.groupBy("text_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     gap = lambda acc, s: F.struct(
         (acc["covered"] + F.least(F.lit(span).cast("long"), s + span - acc["upto"])).alias("covered"),
         (acc["spans"] + F.when(s > acc["upto"], 1).otherwise(0).cast("long")).alias("spans"),
