@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from patchloom.shared import materialize
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Number and hash sums of the links: equal for equal sets."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)"))
+    return tuple(links.agg(F.count("*"), h(1), h(2)).first())
+
+
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """links: two long columns -> (node, component), component the smallest node; nodes without a link are not given.
 
@@ -17,6 +23,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     at = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     at = materialize(at.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    mark = _mark(at)
     for _ in range(most_rounds):
         both = at.union(at.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,8 +31,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialize(small, "cc")
-        same = now.exceptAll(at).isEmpty() and at.exceptAll(now).isEmpty()
-        at = now
-        if same:
+        last, mark, at = mark, _mark(now), now
+        if mark == last:
             return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select("v", "v").distinct())
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.shared import materialize, spread
+from patchloom.shared import materialize
 
 WINDOWS, MERGED = 64, 64
 
@@ -81,7 +81,8 @@ def packed(items: DataFrame, capacity: int = 2048, windows: int = WINDOWS, merge
         rows = [(base + window, 0, -1, 0, capacity - free) for free, window in fit.open]  # what is still open
         yield pd.DataFrame(rows, columns=names)
 
-    rows = spread(items.select("doc_id", "n_tokens").where("doc_id is not null and n_tokens is not null"), "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = items.select("doc_id", "n_tokens").where("doc_id is not null and n_tokens is not null").repartition(tasks, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     placed = materialize(rows.mapInPandas(place, "container long, doc_id long, piece_no int, start_token long, n_tokens long"), "packed")
     left = placed.where("piece_no = -1").select("container", F.col("n_tokens").alias("used"), F.shiftright("container", 40).alias("team"))
     placed = placed.where("piece_no >= 0")
