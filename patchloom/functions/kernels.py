@@ -153,7 +153,13 @@ def normalized(x: np.ndarray, kind: str, reg: float = EPS, channels: int = 1) ->
 
 
 def squared_distances(x: np.ndarray, atoms: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(-1, keepdims=True) - 2 * x @ atoms.T + (atoms * atoms).sum(-1), 0)
+    """By one product; where that cancels (a vector that is nearly an atom) by differences."""
+    own, theirs = (x * x).sum(-1, keepdims=True), (atoms * atoms).sum(-1)
+    d = own - 2 * x @ atoms.T + theirs
+    near = np.nonzero(d <= 1e-6 * (own + theirs))
+    if len(near[0]):
+        d[near] = ((x[near[:-1]] - atoms[near[-1]]) ** 2).sum(-1)
+    return d
 
 
 def one_hot_nearest(x: np.ndarray, atoms: np.ndarray) -> np.ndarray:
