@@ -78,6 +78,63 @@ def clean_language(name: Column) -> Column:
     return F.when(base == "", "und").otherwise(base)
 
 
+Path = tuple[str, ...]
+
+
+def tree_of(stats: list[tuple[Path, int]], weights: dict[Path, float], repeats: dict[Path, int]) -> Node:
+    """The tree over the leaves' paths and sizes. A node without a weight weighs as much as its tokens; children of a node that has
+    weighted children need one to take part. A leaf's repeats are those of the longest prefix of its path that has some, else 1."""
+    root, at = Node("all", 1.0), {}
+    at[()] = root
+    for path in sorted(set(weights) | {p for p, _ in stats}):
+        for depth in range(1, len(path) + 1):
+            if path[:depth] not in at:
+                at[path[:depth]] = Node(path[depth - 1], 0.0)
+                at[path[: depth - 1]].children.append(at[path[:depth]])
+    tokens: dict[Path, int] = {}
+    for path, size in stats:
+        at[path].size = size
+        at[path].repeats = next((repeats[path[:d]] for d in range(len(path), -1, -1) if path[:d] in repeats), 1)
+        for depth in range(len(path) + 1):
+            tokens[path[:depth]] = tokens.get(path[:depth], 0) + size
+    weighted = {p[:-1] for p in weights}
+    for path, node in at.items():
+        if path:
+            node.weight = float(weights.get(path, 0.0)) if path[:-1] in weighted else float(tokens.get(path, 0))
+    return root
+
+
+def select_by_tree(docs: DataFrame, levels: list[str], weights: dict[Path, float], repeats: dict[Path, int], total: float | None = None, seed: int = 42) -> DataFrame:
+    """docs: (doc_id, n_tokens, *levels), one row for each doc_id, no nulls -> (doc_id, *levels, n_tokens, uses).
+
+    levels: the columns of the tree from the root down, such as domain, language, source. The tree has a node for each
+    combination of their values that there is: it is made on the driver and must not grow with the documents.
+    """
+    stats = [(tuple(r[c] for c in levels), int(r["tokens"])) for r in docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).collect()]
+    root = tree_of(stats, weights, repeats)
+    spend(root, exact_total(root) if total is None else float(total))
+    rows = [(*path[1:], int(n.budget + 1e-6) // n.size, int(n.budget + 1e-6) % n.size) for path, n in root.leaves() if len(path) == len(levels) + 1 and n.size]
+    names = [f"level_{i}" for i in range(len(levels))]
+    budgets = docs.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in names) + ", epochs long, rest long")
+    leaves = docs.select("doc_id", "n_tokens", *[F.col(c).alias(n) for c, n in zip(levels, names, strict=True)])
+
+    at = leaves.join(F.broadcast(budgets), names)
+    order = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
+    at = at.withColumn("order", order).withColumn("slice", F.shiftright("order", 48))
+    sums = at.groupBy(*names, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
+    leaf = W.partitionBy(*names).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    upto = sums.withColumn("before", F.coalesce(F.sum("slice_tokens").over(leaf), F.lit(0)))  # SLICES rows a leaf at most
+    at = at.join(upto, [*names, "slice"])
+    inside, over = F.col("before") < F.col("rest"), F.col("before") + F.col("slice_tokens") > F.col("rest")
+    plain = at.where(~(inside & over)).withColumn("more", F.when(over, 0).otherwise(1))
+    cut = at.where(inside & over)  # one slice of a leaf
+    running = F.sum("n_tokens").over(W.partitionBy(*names).orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    # the document that the budget ends in is taken if more than half of it is within
+    cut = cut.withColumn("more", (F.col("before") + running - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
+    taken = plain.unionByName(cut).withColumn("uses", (F.col("epochs") + F.col("more")).cast("int")).where("uses > 0")
+    return materialize(taken.select("doc_id", *[F.col(n).alias(c) for c, n in zip(levels, names, strict=True)], "n_tokens", "uses"), "mix-selection")
+
+
 def mixed(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """sizes: (doc_id, n_tokens, lang, source), one row for each doc_id; targets: (source, target_share, max_repeats).
 
@@ -86,36 +143,13 @@ def mixed(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed:
     total: tokens to reach; None takes the most at which every source can hold its share exactly. A source that is too
     small for its share at a given total gives all it may, and the rest is shared among the others by their weights.
     Within a source, languages are weighted by their tokens. Documents are never cut, so a leaf misses its budget by
-    at most half a document. Sources without a target, null sources and null sizes are no part of the mix. The tree
-    has a node for each target and language, whatever the number of documents.
+    at most half a document. Sources without a target, null sources and null sizes are no part of the mix.
     """
     docs = sizes.where("doc_id is not null and n_tokens is not null").select("doc_id", "n_tokens", clean_language(F.col("lang")).alias("lang"), clean_source(F.col("source")).alias("source"))
     wanted = targets.where("source is not null and target_share is not null").groupBy(clean_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     docs = materialize(docs.join(wanted.select("source"), "source", "left_semi"), "mix-docs")
-    stats = docs.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).collect()
-    root = Node("all", 1.0)
-    for t in sorted(wanted.collect(), key=lambda r: r["source"]):
-        leaves = [Node(s["lang"], float(s["tokens"]), size=int(s["tokens"]), repeats=int(t["max_repeats"])) for s in sorted(stats, key=lambda s: s["lang"]) if s["source"] == t["source"] and s["tokens"]]
-        root.children.append(Node(t["source"], float(t["target_share"]), leaves))
-    spend(root, exact_total(root) if total is None else float(total))
-    rows = [(path[1], path[2], int(n.budget + 1e-6) // n.size, int(n.budget + 1e-6) % n.size) for path, n in root.leaves() if len(path) == 3 and n.size]
-    budgets = sizes.sparkSession.createDataFrame(rows, "source string, lang string, epochs long, rest long")
-
-    at = docs.join(F.broadcast(budgets), ["source", "lang"])
-    order = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    at = at.withColumn("order", order).withColumn("slice", F.shiftright("order", 48))
-    sums = at.groupBy("source", "lang", "slice").agg(F.sum("n_tokens").alias("tokens"))
-    leaf = W.partitionBy("source", "lang").orderBy("slice")
-    upto = sums.withColumn("before", F.sum("tokens").over(leaf.rowsBetween(W.unboundedPreceding, -1))).select("source", "lang", "slice", F.coalesce("before", F.lit(0)).alias("before"), "tokens")
-    at = at.join(upto.withColumnRenamed("tokens", "slice_tokens"), ["source", "lang", "slice"])
-    whole = at.where(F.col("before") + F.col("slice_tokens") <= F.col("rest")).withColumn("more", F.lit(1))
-    none = at.where(F.col("before") >= F.col("rest")).where(F.col("before") + F.col("slice_tokens") > F.col("rest")).withColumn("more", F.lit(0))
-    cut = at.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("slice_tokens") > F.col("rest")))
-    running = F.sum("n_tokens").over(W.partitionBy("source", "lang").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    # the document that the budget ends in is taken if more than half of it is within
-    cut = cut.withColumn("more", (F.col("before") + running - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
-    taken = whole.unionByName(none).unionByName(cut).withColumn("uses", (F.col("epochs") + F.col("more")).cast("int")).where("uses > 0")
-    selection = materialize(taken.select("doc_id", "source", "lang", "n_tokens", "uses"), "mix-selection")
+    shares = wanted.collect()
+    selection = select_by_tree(docs, ["source", "lang"], {(t["source"],): t["target_share"] for t in shares}, {(t["source"],): int(t["max_repeats"]) for t in shares}, total, seed)
 
     used = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     there = docs.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))

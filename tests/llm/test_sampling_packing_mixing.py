@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.llm.mixing import Node, clean_language, clean_source, exact_total, mixed, spend
+from patchloom.llm.mixing import Node, clean_language, clean_source, exact_total, mixed, select_by_tree, spend, tree_of
 from patchloom.llm.packing import Windows, fill_report, packed
 from patchloom.llm.sampling import fixed_size_sample, sample_keys
 from patchloom.llm.tokens import encoder, token_sizes
@@ -147,6 +147,26 @@ def test_shortages_go_to_siblings_before_ancestors():
     assert exact_total(root) == 2000
 
 
+def test_a_tree_of_three_levels(spark, parts):
+    """Weights on domains and, in one of them, on languages; the rest by tokens; one source may repeat."""
+    rows = [(i, 10, ["code", "mail"][i % 2], ["en", "de"][i // 2 % 2], ["a", "b", "c"][i % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens long, domain string, language string, src string").repartition(parts)
+    weights = {("code",): 3.0, ("mail",): 1.0, ("mail", "de"): 1.0, ("mail", "en"): 4.0}
+    out = select_by_tree(docs, ["domain", "language", "src"], weights, {("code",): 2}, total=16000).collect()
+    got = Counter()
+    for r in out:
+        got[(r["domain"], r["language"])] += r["n_tokens"] * r["uses"]
+    assert abs(got[("code", "en")] - 6000) <= 20 and abs(got[("code", "de")] - 6000) <= 20
+    assert abs(got[("mail", "en")] - 3200) <= 20 and abs(got[("mail", "de")] - 800) <= 20
+    assert {r["uses"] for r in out if r["domain"] == "mail"} == {1}
+
+
+def test_children_without_a_weight_beside_weighted_ones_take_no_part():
+    root = tree_of([(("a", "x"), 10), (("b", "x"), 10)], {("a",): 1.0}, {})
+    spend(root, 100)
+    assert {path: n.budget for path, n in root.leaves()} == {("all", "a", "x"): 10, ("all", "b", "x"): 0}
+
+
 def test_mixing_nothing(spark):
     selection, report = mixed(sizes_of(spark, []), targets_of(spark, [("a", 1.0, 1)]))
     assert selection.count() == 0 and [r["tokens"] for r in report.collect()] == [0]
