@@ -30,8 +30,9 @@ EXTRA = 11
 
 def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame, int]:
     """classes: (class_id, vec) -> (part, block of up to BLOCK vectors as bytes) in the shared folder, and the number of parts."""
-    spark = classes.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism * 2, -(-classes.count() // group))
+    n = classes.count()
+    # enough parts for all cores, but none so small that sending every block to it costs more than its products
+    parts = max(1, -(-n // group), min(classes.sparkSession.sparkContext.defaultParallelism * 2, -(-n // (2 * BLOCK))))
 
     def pack(batches):
         from pyspark import TaskContext
