@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from patchloom.shared import materialize, mix64, spread
 
+#: Rows that are worked on at once.
+ROWS = 2048
 #: A unit vector u is step * (256 * hi + lo) with int8 planes hi and lo, up to a rounding error of e16 (e8 without lo).
 MOST = 127 * 256 + 127
 
@@ -24,6 +26,12 @@ def usable_rows(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, n
     return ids.filter(pa.array(full)).to_numpy(zero_copy_only=False)[fine], x[fine]
 
 
+def _sliced(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Each row minus its own mean, of length 1. A row whose deviations vanish in double precision stays 0."""
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
@@ -56,7 +64,7 @@ def directions(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """
 
     def scan(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, x = usable_rows(batch.column("vec_id"), batch.column("vec"), dim)
             fp1, fp2 = direction_print(unit_rows(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fp1), pa.array(fp2), pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float64()))], names=["vec_id", "fp1", "fp2", "vec"])
@@ -74,7 +82,7 @@ def similarity(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFram
     """pairs of class ids -> (a, b, sim): the cosine after subtracting each vector's mean, in double precision, to 9 decimals."""
 
     def exact(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             u = [unit_rows(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) for c in ("vec_a", "vec_b") if batch.num_rows]
             if u:
                 yield pa.RecordBatch.from_arrays([batch.column(a), batch.column(b), pa.array(np.round((u[0] * u[1]).sum(1), 9))], names=[a, b, "sim"])
