@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from patchloom.shared import materialize, mix64
 
 SPAN, GRAM = 120, 64
+#: An anchor of more texts than this is looked at window by window: its texts may have no more in common than the anchor.
+HOT = 256
 #: Longer texts are cut into pieces of this many characters that overlap by a span.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -112,11 +114,10 @@ def _shared_anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
     return materialize(found.where("lo < hi").groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
 
 
-def _meetings(shared: DataFrame) -> DataFrame:
-    """(text_a, pos_a, text_b, pos_b) with text_a < text_b: where two texts share an anchor but not what links it to the one before."""
-    a = shared.select("anchor", F.col("text_id").alias("text_a"), F.col("pos").alias("pos_a"), F.col("link").alias("link_a"))
-    b = shared.select("anchor", F.col("text_id").alias("text_b"), F.col("pos").alias("pos_b"), F.col("link").alias("link_b"))
-    return a.join(b, "anchor").where("text_a < text_b and (link_a != link_b or link_a = 0)").select("text_a", "pos_a", "text_b", "pos_b")
+def _meetings(shared: DataFrame, *on: str) -> DataFrame:
+    """(text_a, pos_a, text_b, pos_b) with text_a < text_b: where two texts share `on` but not what links it to the place before."""
+    a, b = (shared.select(*on, *[F.col(c).alias(f"{n}_{s}") for c, n in (("text_id", "text"), ("pos", "pos"), ("link", "link"))]) for s in "ab")
+    return a.join(b, [*on]).where("text_a < text_b and (link_a != link_b or link_a = 0)").select("text_a", "pos_a", "text_b", "pos_b")
 
 
 def _representatives(docs: DataFrame) -> DataFrame:
@@ -149,9 +150,41 @@ def _common_prefix(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
+def _hot_windows(docs: DataFrame, places: DataFrame, span: int, k: int) -> DataFrame:
+    """Windows of `span` characters over the places' anchors that at least two texts have: (window, half, text_id, pos, link).
+
+    window and half: hashes of the window and of its second half, 128 bits together. link: the hash of the window and the
+    character before it, 0 if the window before is not looked at.
+    """
+    held = places.groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id").join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at")
+
+    def windows(batches):
+        for batch in batches:
+            for i, text, at in zip(batch.column("text_id").to_pylist(), batch.column("text"), batch.column("at"), strict=True):
+                text, at = text.as_py(), np.asarray(at.as_py(), np.int64)
+                hasher = _Hasher(len(text))
+                hasher.load(text)
+                starts = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(text) - span)]
+                link = np.zeros(len(starts), np.uint64)
+                after = np.flatnonzero(np.diff(starts) == 1) + 1
+                link[after] = hasher.between(starts[after] - 1, starts[after] + span)
+                h, half = hasher.between(starts, starts + span), hasher.between(starts + span // 2, starts + span)
+                for lo in range(0, len(starts), 65536):
+                    part = slice(lo, lo + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(half[part].view(np.int64)), pa.array(np.full(len(h[part]), i)), pa.array(starts[part]), pa.array(link[part].view(np.int64))], names=["window", "half", "text_id", "pos", "link"])
+
+    of = W.partitionBy("window")
+    seen = held.mapInArrow(windows, "window long, half long, text_id long, pos long, link long")
+    return seen.withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of)).where("lo < hi").drop("lo", "hi")
+
+
+def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """(text_a, text_b), text_a < text_b: all pairs of different texts with a common span of at least `span` characters."""
-    met = materialize(_meetings(_shared_anchors(docs, span, k)), "span-meetings")
+    shared = _shared_anchors(docs, span, k)
+    often = shared.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+    few, many = shared.join(often, "anchor", "left_anti"), shared.join(often, "anchor", "left_semi")
+    met = materialize(_meetings(few, "anchor"), "span-meetings")
     places = met.select(F.col("text_a").alias("text_id"), F.col("pos_a").alias("pos")).union(met.select("text_b", "pos_b"))
     around = materialize(_contexts(docs, places, span - k, k), "span-contexts")
 
@@ -163,17 +196,21 @@ def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame
 
     side = lambda s: around.select(F.col("text_id").alias(f"text_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("before").alias(f"before_{s}"), F.col("after").alias(f"after_{s}"))
     both = met.join(side("a"), ["text_a", "pos_a"]).join(side("b"), ["text_b", "pos_b"])
-    return both.select("text_a", "text_b", "before_a", "after_a", "before_b", "after_b").mapInArrow(long_enough, "text_a long, text_b long").distinct()
+    found = both.select("text_a", "text_b", "before_a", "after_a", "before_b", "after_b").mapInArrow(long_enough, "text_a long, text_b long")
+    if many.isEmpty():
+        return found.distinct()
+    windows = materialize(_hot_windows(docs, many, span, k), "span-windows")
+    return found.union(_meetings(windows, "window", "half").select("text_a", "text_b")).distinct()
 
 
-def sharing_documents(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
+def sharing_documents(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs: (doc_id long, text string) -> (doc_id_a, doc_id_b), the smaller id first: documents that share a span.
 
     Rows count once by doc_id and text. Null ids and null texts are left out, texts of under `span` characters are in
     no pair, whole texts of any length are read, other columns don't matter, an empty table gives no pairs.
     """
     members = materialize(_classes(docs).where(F.length("text") >= span).select("doc_id", "text_id").distinct(), "span-members")
-    pairs = sharing_texts(docs, span, k)
+    pairs = sharing_texts(docs, span, k, hot)
     a, b = (members.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text_id").alias(f"text_{s}")) for s in "ab")
     across = pairs.join(a, "text_a").join(b, "text_b").select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
     copies = a.join(b.withColumnRenamed("text_b", "text_a"), "text_a").where("doc_a < doc_b").select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
@@ -187,27 +224,8 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
     several documents have, all of it counts if it has `span` characters. Only windows over an anchor that two texts
     share can be common, so only their hashes are compared.
     """
-    shared = _shared_anchors(docs, span, k).select("text_id", "pos").distinct()
-    wanted = shared.groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id")
-    held = wanted.join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at")
-
-    def windows(batches):
-        for batch in batches:
-            for i, text, at in zip(batch.column("text_id").to_pylist(), batch.column("text"), batch.column("at"), strict=True):
-                text, at = text.as_py(), np.sort(np.asarray(at.as_py(), np.int64))
-                hasher = _Hasher(len(text))
-                hasher.load(text)
-                starts = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(text) - span)]
-                h = hasher.between(starts, starts + span)
-                for lo in range(0, len(starts), 65536):
-                    part = slice(lo, lo + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(len(h[part]), i)), pa.array(starts[part])], names=["window", "text_id", "start"])
-
-    of = W.partitionBy("window")
-    seen = held.mapInArrow(windows, "window long, text_id long, start long")
-    seen = seen.withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of)).where("lo < hi")
-    starts = seen.groupBy("text_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    windows = _hot_windows(docs, _shared_anchors(docs, span, k).select("text_id", "pos").distinct(), span, k)
+    starts = windows.groupBy("text_id").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
     gap = lambda acc, s: F.struct(
         (acc["covered"] + F.least(F.lit(span).cast("long"), s + span - acc["upto"])).alias("covered"),
         (acc["spans"] + F.when(s > acc["upto"], 1).otherwise(0).cast("long")).alias("spans"),

@@ -45,6 +45,22 @@ def test_pairs_equal_brute_force(spark, span, k):
     assert {tuple(r) for r in sharing_documents(frame(spark, rows), span, k).collect()} == brute(rows, span)
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_hot_anchors_give_the_same_pairs(spark, hot):
+    rows = made(7)
+    assert {tuple(r) for r in sharing_documents(frame(spark, rows), hot=hot).collect()} == brute(rows)
+
+
+def test_a_shared_line_below_the_span_makes_no_pairs(spark):
+    """All texts have 100 characters in common, some have 120: only those pair, and the others never meet."""
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    line = text(120)
+    rows = [(i, text(150) + line[:100] + text(150)) for i in range(80)] + [(1000 + i, text(140) + line + text(90)) for i in range(6)]
+    assert {tuple(r) for r in sharing_documents(frame(spark, rows), hot=20).collect()} == brute(rows)
+    assert len(brute(rows)) == 15
+
+
 def test_partitions_do_not_matter(spark, parts):
     rows = made(2)
     assert {tuple(r) for r in sharing_documents(frame(spark, rows).repartition(parts)).collect()} == brute(rows)
