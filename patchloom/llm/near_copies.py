@@ -126,8 +126,8 @@ def similar_run_sets(records: DataFrame, threshold: float, run: int, matches: in
             if runs_:
                 yield pd.DataFrame({"run": np.concatenate(runs_), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = records.select("id", "packed").mapInPandas(index, "run long, id long, n int").repartition(parts, "run")
+    # both sides are one shuffle, and a join of its own making may be split where a run is in many records
+    postings = records.select("id", "packed").mapInPandas(index, "run long, id long, n int")
     a, b = (postings.select("run", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     tally = a.join(b, "run").where(f"id_a < id_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
     candidates = tally.where(F.col("shared") >= matches).select("id_a", "id_b")
