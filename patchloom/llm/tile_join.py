@@ -69,8 +69,8 @@ class _Block:
 
 def _recomputed(a: np.ndarray, r: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), np.float32)
-    for at in range(0, len(r), 1 << 15):
-        part = slice(at, at + (1 << 15))
+    for at in range(0, len(r), 1 << 13):
+        part = slice(at, at + (1 << 13))
         out[part] = np.einsum("ij,ij->i", a[r[part]], b[c[part]])
     return out
 
@@ -132,7 +132,7 @@ class _Heaps:
         keep = (rank < self.k + EXTRA) & (s >= self.least()[r])
         self.pool.append((r[keep], ids[keep], s[keep]))
         self.waiting += int(keep.sum())
-        if self.waiting > 1_000_000 + 4 * self.k * len(self.ids):
+        if self.waiting > 4 * (self.k + EXTRA) * len(self.ids):
             self.shrink()
 
     def shrink(self) -> None:
