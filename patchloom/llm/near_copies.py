@@ -153,8 +153,9 @@ def _classes(records: DataFrame, run: int, least_runs: int, threshold: float, ma
     if matches > np.ceil(threshold * least_runs):
         raise ValueError("matches must not exceed what two records of least_runs runs share")
     base = materialize(_prepared(records, run, least_runs), "copies-base")
-    first = base.groupBy("fp1", "fp2").agg(F.min("id").alias("class_id"))
-    members = materialize(base.select("fp1", "fp2", "id").distinct().join(first, ["fp1", "fp2"]).select("id", "class_id"), "copies-members")
+    ids = base.groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("fp")).select("id", "fp.*")
+    first = ids.groupBy("fp1", "fp2").agg(F.min("id").alias("class_id"))
+    members = materialize(ids.join(first, ["fp1", "fp2"]).select("id", "class_id"), "copies-members")
     once = base.join(first.select(F.col("class_id").alias("id"), "fp1", "fp2"), ["id", "fp1", "fp2"]).dropDuplicates(["id"]).select("id", "n", "packed")
     once = materialize(once, "copies-once")
     return members, materialize(similar_run_sets(once, threshold, run, matches, bits), "copies-pairs")
@@ -163,8 +164,8 @@ def _classes(records: DataFrame, run: int, least_runs: int, threshold: float, ma
 def near_copy_pairs(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_runs: int = LEAST_RUNS, matches: int = MATCHES, bits: int = SKETCH_BITS) -> DataFrame:
     """records: (id long, seq array<int>) -> (id_a, id_b), the smaller id first: records whose distinct runs are alike.
 
-    Alike: the common runs are at least `threshold` of the runs of either. Repeated rows count once; null ids and null
-    sequences are left out; a null element is a value of its own; sequences with under least_runs distinct runs (empty
+    Alike: the common runs are at least `threshold` of the runs of either. Repeated rows count once (if deliveries of an id
+    differ, the one with the least print of its runs); null ids and null sequences are left out; a null element is a value of its own; sequences with under least_runs distinct runs (empty
     and constant ones among them) are in no pair; other columns don't matter; an empty table gives no pairs.
     """
     members, pairs = _classes(records, run, least_runs, threshold, matches, bits)

@@ -86,6 +86,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("text_id", F.xxhash64("text"))
 
 
+def _texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, n_chars), each doc_id once: if deliveries differ, the text with the least hash holds."""
+    rows = _classes(docs).select("doc_id", F.struct("text_id", F.length("text").cast("long").alias("n_chars")).alias("t"))
+    return rows.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.*")
+
+
 def _anchor_table(docs: DataFrame, span: int, k: int) -> DataFrame:
     def scan(batches):
         hasher, seen = _Hasher(), set()
@@ -206,10 +212,10 @@ def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = H
 def sharing_documents(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs: (doc_id long, text string) -> (doc_id_a, doc_id_b), the smaller id first: documents that share a span.
 
-    Rows count once by doc_id and text. Null ids and null texts are left out, texts of under `span` characters are in
+    Rows count once by doc_id (if deliveries differ, the text with the least hash). Null ids and null texts are left out, texts of under `span` characters are in
     no pair, whole texts of any length are read, other columns don't matter, an empty table gives no pairs.
     """
-    members = materialize(_classes(docs).where(F.length("text") >= span).select("doc_id", "text_id").distinct(), "span-members")
+    members = materialize(_texts_of(docs).where(F.col("n_chars") >= span).select("doc_id", "text_id"), "span-members")
     pairs = sharing_texts(docs, span, k, hot)
     a, b = (members.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text_id").alias(f"text_{s}")) for s in "ab")
     across = pairs.join(a, "text_a").join(b, "text_b").select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
@@ -233,7 +239,7 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
     )
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("spans"), F.lit(-1).cast("long").alias("upto"))
     cover = starts.select("text_id", F.aggregate("starts", zero, gap).alias("c")).select("text_id", F.col("c.covered").alias("covered"), F.col("c.spans").alias("found"))
-    rows = _classes(docs).select("doc_id", "text_id", F.length("text").cast("long").alias("n_chars")).distinct()
+    rows = _texts_of(docs)
     copies = rows.groupBy("text_id").agg(F.count("*").alias("copies"))
     whole = (F.col("copies") > 1) & (F.col("n_chars") >= span)
     return rows.join(copies, "text_id").join(cover, "text_id", "left").select(

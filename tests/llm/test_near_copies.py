@@ -80,6 +80,12 @@ def test_hot_group_of_copies_is_compared_once(spark):
     assert near_copy_pairs(frame(spark, rows)).count() == 300 * 299 // 2
 
 
+def test_deliveries_that_differ_make_no_pair_with_themselves(spark):
+    s = np.random.default_rng(9).integers(0, 256, 100).tolist()
+    out = near_copy_pairs(frame(spark, [(1, s), (1, s[:-1]), (1, [7] * 50), (2, s)])).collect()
+    assert [tuple(r) for r in out] == [(1, 2)]
+
+
 def test_empty(spark):
     assert near_copy_pairs(frame(spark, [])).count() == 0
     assert near_copy_groups(frame(spark, [(1, None), (2, [])])).count() == 0

@@ -99,6 +99,14 @@ def test_hot_text(spark):
     assert {r["shared_chars"] for r in shared_lengths(frame(spark, rows)).collect() if r["doc_id"] < 60} == {400}
 
 
+def test_deliveries_that_differ(spark):
+    rng = random.Random(9)
+    t = "".join(rng.choice("abcdef") for _ in range(300))
+    rows = [(1, t), (1, t[:200]), (2, t), (3, t[:150])]
+    assert {tuple(r) for r in sharing_documents(frame(spark, rows)).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert sorted(r["doc_id"] for r in shared_lengths(frame(spark, rows)).collect()) == [1, 2, 3]
+
+
 def test_empty(spark):
     assert sharing_documents(frame(spark, [])).count() == 0
     assert shared_lengths(frame(spark, [])).count() == 0
