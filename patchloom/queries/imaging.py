@@ -154,3 +154,19 @@ grid as (select a.i, b.j from range(26) a(i), range(35) b(j)), filled as (select
 ends as (select min(v) as lo, max(v) as hi from filled) select i, j, round((v - lo) / (hi - lo + 2.220446049250313e-16), 6) as v from filled, ends""",
 }
 ORACLES["C4_sub_images_of_one"] = ORACLES["C3_sub_image_set"] + " and vec_id = 7"
+#: o: the oriented gradient of each place and angle; filters as in D5, true convolution, edges repeated.
+_GRADIENTS = X + """, g as (select i, j, exp(-((i - 2) * (i - 2) + (j - 2) * (j - 2)) / 2.0) as v from range(5) s(i), range(5) t(j)), n as (select i, j, v / sum(v) over () as v from g),
+fh as (select i, j, 2 * d / sum(abs(d)) over () as d from (select a.i, a.j, (b.v - c.v) / (b.i - c.i) as d from n a join n b on b.j = a.j and b.i = least(a.i + 1, 4) join n c on c.j = a.j and c.i = greatest(a.i - 1, 0))),
+fw as (select i, j, 2 * d / sum(abs(d)) over () as d from (select a.i, a.j, (b.v - c.v) / (b.j - c.j) as d from n a join n b on b.i = a.i and b.j = least(a.j + 1, 4) join n c on c.i = a.i and c.j = greatest(a.j - 1, 0))),
+places as (select r, c, i, j, least(greatest(r - (i - 2), 0), 7) as sr, least(greatest(c - (j - 2), 0), 7) as sc, fh.d as h, fw.d as w from range(8) p(r), range(8) q(c), fh join fw using (i, j)),
+grad as (select vec_id, p.r, p.c, sum(v * h) as dh, sum(v * w) as dw from places p join x on x.r = sr and x.c = sc group by vec_id, p.r, p.c),
+o as (select vec_id, r, c, a, sqrt(dh * dh + dw * dw) * greatest(pow(cos(atan2(dh, dw) - a * pi() / 4), 9), 0) as v from grad, range(8) t(a))
+"""
+ORACLES["D6_oriented_gradients"] = _GRADIENTS + f"select vec_id as id, (r * 8 + c) * 8 + a as j, {r6('v')} as v from o"
+# with 4 x 4 patches a cell is a pixel
+ORACLES["D7_dense_sift"] = _GRADIENTS + f""", feats as (select vec_id, p.i as p, q.i as q, ((r - 2 * p.i) * 4 + c - 2 * q.i) * 8 + a as e, v from o join range(3) p(i) on r between 2 * p.i and 2 * p.i + 3 join range(3) q(i) on c between 2 * q.i and 2 * q.i + 3),
+cut as (select *, least(v / greatest(len, 1.0), 0.2) as z from (select *, sqrt(sum(v * v) over (partition by vec_id, p, q)) as len from feats))
+select vec_id as id, (p * 3 + q) * 128 + e as j, {r6('case when len >= 1.0 then z / sqrt(sum(z * z) over (partition by vec_id, p, q)) else z end')} as v from cut"""
+ORACLES["F4_layer_sample"] = X + f""", few as (select vec_id, cell from emb, range(4) t(cell) order by md5('42-' || vec_id || '-' || cell), vec_id, cell limit 50),
+tiles as (select f.vec_id, cell, (r - p) * 3 + c - q as j, v from few f, range(6) a(p), range(6) b(q), x where x.vec_id = f.vec_id and p // 3 = cell // 2 and q // 3 = cell % 2 and r between p and p + 2 and c between q and q + 2)
+select vec_id as id, (cell // 2)::integer as row, (cell % 2)::integer as col, j, {r6('greatest(max(v), 0)')} as v from tiles group by vec_id, cell, j"""
