@@ -174,3 +174,28 @@ with windows as (select distinct doc_id, text[i : i + 119] as w from (select doc
 twice as (select w, list(doc_id) as docs from windows group by w having count(*) > 1)
 select distinct a as doc_id_a, b as doc_id_b from (select a, unnest(docs) as b from (select docs, unnest(docs) as a from twice)) where a < b
 """
+ORACLES["p1_neighbours"] = _UNIT.replace("where list_inner_product(a.u, b.u) >= 0.6999", "", 1) + """
+, ends as (select a as v, b as o, sim from sims union all select b, a, sim from sims),
+ranked as (select *, row_number() over (partition by v order by sim desc, o) as rn from ends)
+select v as vec_id, o as other_id, sim, rn::integer as rank from ranked where rn <= 5
+"""
+ORACLES["p2_groups"] = """
+with recursive once as (select image_id as id, any_value(raw_data) as v from image_records where image_id is not null and raw_data is not null group by image_id),
+runs as (select distinct id, array_to_string(v[i : i + 7], ',') as r from (select id, v, unnest(generate_series(1, len(v) - 7)) as i from once where len(v) >= 8)),
+sized as (select id, count(*) as n, md5(string_agg(r, ';' order by r)) as fp from runs group by id having count(*) >= 32),
+classes as (select id, n, min(id) over (partition by fp) as class_id from sized),
+kept as (select r.id, r.r, c.n from runs r join classes c on c.id = r.id and c.id = c.class_id),
+met as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from kept a join kept b on a.r = b.r and a.id < b.id group by a.id, b.id),
+links as (select a, b from met where common >= 0.6 * (na + nb - common) - 1e-12),
+ends as (select a as v, b as o from links union all select b, a from links),
+reach(v, o) as (select v, v from ends union select r.v, e.o from reach r join ends e on e.v = r.o),
+groups as (select v, min(o) as g from reach group by v), counted as (select v, count(*) as n from ends group by v)
+select id as image_id, class_id, coalesce(g, class_id) as group_id, coalesce(c.n, 0) as n_links from classes left join groups on groups.v = class_id left join counted c on c.v = class_id
+"""
+ORACLES["p9_shared"] = """
+with windows as (select doc_id, i, text[i : i + 119] as w from (select doc_id, text, unnest(generate_series(1, length(text) - 119)) as i from documents where length(text) >= 120)),
+twice as (select w from windows group by w having count(distinct doc_id) > 1),
+starts as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from windows where w in (select w from twice)),
+told as (select doc_id, sum(least(120, i - coalesce(before, -1000000)))::bigint as shared_chars, sum((before is null or i > before + 120)::int)::bigint as spans from starts group by doc_id)
+select doc_id, length(text) as n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(spans, 0) as spans from documents left join told using (doc_id)
+"""
