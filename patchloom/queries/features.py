@@ -10,7 +10,7 @@ from patchloom.functions.images import long_form
 from patchloom.operators import dictionary as D
 from patchloom.operators import encode, linalg, stats
 from patchloom.plans.pipeline import Component, ConvLayer
-from patchloom.queries.inputs import ATOMS, COLOR, X, array_rows, color_images, first_vectors, images, matrix_rows, r6, truths, truths_sql, vectors
+from patchloom.queries.inputs import ATOMS, COLOR, X, color_images, first_vectors, images, matrix_rows, r6, truths, truths_sql, vectors
 
 
 def _maps(spark, sf_dir):

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from patchloom.functions.images import images_from_vectors, long_form
-from patchloom.queries.inputs import X, images, r6, vectors
+from patchloom.queries.inputs import X, r6, vectors
 from patchloom.shared import scratch_path, table
 from patchloom.sources import binary as B
 from patchloom.sources import folders as S

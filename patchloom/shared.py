@@ -10,7 +10,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _RUN = uuid.uuid4().hex[:12]
@@ -66,8 +65,3 @@ def mix64(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
-
-
-def once_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row for each non-null key; each column is the least non-null value among the key's rows."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in columns])
