@@ -15,6 +15,8 @@ from patchloom.shared import materialize, mix64
 
 #: 64 bands of 4 rows: two names with a similarity of 0.60 meet with a probability of 1 - (1 - 0.6^4)^64 = 0.9999.
 BANDS, ROWS = 64, 4
+#: Names are hashed in lots of about so many characters.
+CHARACTERS = 1 << 18
 
 
 def file_name(path: Column) -> Column:
@@ -39,7 +41,6 @@ def minhash_bands(names: pd.Series, n: int, bands: int, rows: int, seed: int = 7
     for k in range(n):
         grams = mix64(grams + codes[k : len(codes) - n + 1 + k] + np.uint64(1))
     ends = np.cumsum(lengths)
-    starts = ends - lengths
     inside = np.ones(len(grams), bool)
     for k in range(1, n):  # a shingle that reaches into the next name is none
         inside[np.minimum(ends - k, len(grams) - 1)[ends - k < len(grams)]] = False
@@ -50,7 +51,6 @@ def minhash_bands(names: pd.Series, n: int, bands: int, rows: int, seed: int = 7
         for r in range(band * rows, (band + 1) * rows):
             key = mix64(key ^ np.minimum.reduceat((grams * a[r] + b[r]) >> np.uint64(16), first))
         out[:, band] = key
-    assert len(starts) == len(first)
     return out.view(np.int64)
 
 
@@ -63,9 +63,7 @@ def overlapping_names(names: DataFrame, threshold: float = 0.6, n: int = 4, band
 
     def banded(batches):
         for pdf in batches:
-            pdf = pdf[pdf["name"].str.len() >= n]
-            for at in range(0, len(pdf), 4096):
-                part = pdf.iloc[at : at + 4096]
+            for _, part in pdf.groupby(pdf["name"].str.len().cumsum() // CHARACTERS):
                 keys = minhash_bands(part["name"], n, bands, rows)
                 yield pd.DataFrame({"bucket": keys.ravel(), **{c: np.repeat(part[c].to_numpy(), bands) for c in ("name", "in_train", "in_eval")}})
 
