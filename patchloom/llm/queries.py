@@ -28,7 +28,7 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cub = table(spark, sf_dir, "cub_images").select(F.col("image_id").alias("id"), F.lit("cub_images").alias("source"), (F.col("split") == 1).alias("is_train"), F.col("images").alias("path"))
-    name = F.lower(F.trim("list_name"))
+    name = F.lower(F.btrim("list_name", F.lit(" \t\r\n")))
     train = F.when(name.startswith("train"), True).when(name.startswith("test") | name.startswith("val"), False)
     return cub.union(table(spark, sf_dir, "dog_files").select("file_id", F.lit("dog_files"), train, "files"))
 
