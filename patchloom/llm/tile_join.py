@@ -122,12 +122,13 @@ class _Heaps:
         r, ids, s = r[real], ids[real], s[real]
         if not len(r):
             return
-        order = np.lexsort((-s, r))
+        order = np.argsort(r * 8.0 - s)  # by row, then the most similar first, in one sort
         r, ids, s = r[order], ids[order], s[order]
         rank = _rank(r)
-        top, who = rank < self.k, np.unique(r)
+        top, first = rank < self.k, rank == 0
+        who = r[first]
         new = np.full((len(who), self.k), -2.0, np.float32)
-        new[np.searchsorted(who, r[top]), rank[top]] = s[top]
+        new[np.cumsum(first)[top] - 1, rank[top]] = s[top]
         self.best[who] = -np.sort(-np.concatenate((self.best[who], new), 1), 1)[:, : self.k]
         keep = (rank < self.k + EXTRA) & (s >= self.least()[r])
         self.pool.append((r[keep], ids[keep], s[keep]))

@@ -73,8 +73,9 @@ def directions(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     ids = rows.groupBy("vec_id").agg(F.min(F.struct("fp1", "fp2")).alias("fp")).select("vec_id", "fp.*")
     first = ids.groupBy("fp1", "fp2").agg(F.min("vec_id").alias("class_id"))
     members = materialize(ids.join(first, ["fp1", "fp2"]).select("vec_id", "class_id"), "vec-members")
-    named = first.select(F.col("class_id").alias("vec_id"), "fp1", "fp2")
-    classes = rows.join(named, ["vec_id", "fp1", "fp2"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("class_id"), "vec")
+    named = first.select(F.col("class_id").alias("vec_id"), F.col("fp1").alias("of1"), F.col("fp2").alias("of2"))
+    # joined by the id alone, so that dropping repeated rows needs no further shuffle
+    classes = rows.join(named, "vec_id").where("fp1 = of1 and fp2 = of2").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("class_id"), "vec")
     return members, materialize(classes, "vec-classes")
 
 
