@@ -22,10 +22,13 @@ BLOCK, GROUP = 2048, 32768
 STRIP = 1024
 #: float32 arithmetic over a few hundred elements of unit vectors.
 FLOAT_ERROR = 4e-6
-#: Half a step of 16-bit values of at most 1, in each element, at the very most.
-HALF_STEP = 1.6e-5
-#: Pairs a heap keeps beyond its k because the 16-bit values can't tell them from the k-th.
+#: Pairs a heap keeps beyond its k because the 16-bit values can't tell them from the k-th. A class that fills k + EXTRA with such
+#: pairs may have lost some, so it is searched again in double precision.
 EXTRA = 11
+#: Rows of a block in double precision.
+EXACT_BLOCK = 512
+#: Similarities are compared to 9 decimals.
+DECIMALS = 10**9
 
 
 def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame, int]:
@@ -43,7 +46,7 @@ def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame,
             ids, x = (np.concatenate(v) for v in zip(*rows, strict=True))
             for at in range(0, len(ids), BLOCK):
                 hi, lo, step, e8, e16 = planes(unit_rows(x[at : at + BLOCK]))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "ids": [ids[at : at + BLOCK].tobytes()], "hi": [hi.tobytes()], "lo": [lo.tobytes()], "step": [step.tobytes()], "e8": [e8.tobytes()], "e16": [e16.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "ids": [ids[at : at + BLOCK].tobytes()], "hi": [hi.tobytes()], "lo": [lo.tobytes()], "step": [step.tobytes()], "e8": [e8.tobytes()], "e16": [e16.tobytes()], "most": [float(e16.max())]})
 
         for batch in batches:
             held.append((batch.column("class_id").to_numpy(zero_copy_only=False), batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
@@ -53,7 +56,7 @@ def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame,
         if sum(len(i) for i, _ in held):
             yield from emit(held)
 
-    packed = classes.repartition(parts, "class_id").mapInArrow(pack, "part int, ids binary, hi binary, lo binary, step binary, e8 binary, e16 binary")
+    packed = classes.repartition(parts, "class_id").mapInArrow(pack, "part int, ids binary, hi binary, lo binary, step binary, e8 binary, e16 binary, most double")
     return materialize(packed, "blocks"), parts
 
 
@@ -333,25 +336,108 @@ def _streamed(packed: DataFrame, parts: int, dim: int, collect) -> DataFrame:
         if found is not None:
             yield from rows(found.result())
 
-    spark = packed.sparkSession
+    return _written(sent.mapInArrow(run, "class_a long, class_b long, near double"), "tiles")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """materialize() of what comes from rows that are blocks."""
+    spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "8")  # a row is a block
+    spark.conf.set(key, "8")
     try:
-        return materialize(sent.mapInArrow(run, "class_a long, class_b long, near double"), "tiles")
+        return materialize(df, name)
     finally:
         spark.conf.set(key, before)
 
 
+class _Exact:
+    """The k best of each of some rows in double precision: similarities to 9 decimals, equal ones by the smaller id."""
+
+    def __init__(self, own: list[tuple[np.ndarray, np.ndarray]], k: int):
+        self.ids, self.u = (np.concatenate(x) for x in zip(*own, strict=True))
+        self.k, self.less = k, np.full((len(self.ids), k), 9 * DECIMALS)  # 1 - similarity, in units of the last decimal
+        self.others = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, u: np.ndarray) -> None:
+        order = np.argsort(ids)
+        ids, u = ids[order], u[order]
+        keep = min(self.k, len(ids))
+        for lo in range(0, len(self.ids), STRIP):
+            own = slice(lo, lo + STRIP)
+            # distance and position by id in one number, so that the keep least are those of the rule
+            key = (DECIMALS - np.rint((self.u[own] @ u.T) * DECIMALS).astype(np.int64)) * len(ids) + np.arange(len(ids))
+            at = np.minimum(np.searchsorted(ids, self.ids[own]), len(ids) - 1)
+            self_ = np.flatnonzero(ids[at] == self.ids[own])
+            key[self_, at[self_]] = 9 * DECIMALS * len(ids)
+            key.partition(keep - 1, axis=1)
+            less, c = np.divmod(key[:, :keep], len(ids))
+            less, others = np.concatenate((self.less[own], less), 1), np.concatenate((self.others[own], ids[c]), 1)
+            best = np.lexsort((others, less), axis=1)[:, : self.k]
+            self.less[own], self.others[own] = np.take_along_axis(less, best, 1), np.take_along_axis(others, best, 1)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = self.less < 9 * DECIMALS
+        return np.repeat(self.ids, there.sum(1)), self.others[there], self.less[there]
+
+
+def exact_partners(some: DataFrame, classes: DataFrame, slices: int, dim: int, k: int, group: int = GROUP) -> DataFrame:
+    """(class_a, class_b): for each class_id of some its k most similar others, in double precision.
+
+    A task has a group of them and a slice of all classes; the lists a class has in several tasks are merged here.
+    """
+    groups = max(1, -(-some.count() // group))
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, EXACT_BLOCK):
+                rows = batch.slice(at, EXACT_BLOCK)
+                u = unit_rows(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                yield pa.RecordBatch.from_pydict({"ids": [rows.column("class_id").to_numpy(zero_copy_only=False).tobytes()], "u": [u.tobytes()]})
+
+    made = lambda df, kind: df.select("class_id", "vec").mapInArrow(pack, "ids binary, u binary").withColumn("kind", F.lit(kind))
+    packed = materialize(made(classes.join(some, "class_id", "left_semi"), 0).unionByName(made(classes, 1)), "exact-blocks")
+    of = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    own = packed.where("kind = 0").withColumn("target", F.explode(F.sequence(of(groups) * slices, of(groups) * slices + (slices - 1))))
+    all_ = packed.where("kind = 1").withColumn("target", F.explode(F.sequence(of(slices), of(slices) + (groups - 1) * slices, F.lit(slices))))
+    sent = own.unionByName(all_).repartitionById(groups * slices, F.col("target")).sortWithinPartitions("kind").select("kind", "ids", "u")
+
+    def run(batches):
+        own_, found = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["u"], np.float64).reshape(-1, dim)
+                if row["kind"] == 0:
+                    own_.append(block)
+                elif own_:  # a part without rows has nothing to compare
+                    found = found or _Exact(own_, k)
+                    found.meet(*block)
+        if found is not None:
+            result = found.result()
+            for at in range(0, len(result[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in result], names=["class_a", "class_b", "less"])
+
+    lists = _written(sent.mapInArrow(run, "class_a long, class_b long, less long"), "exact")
+    rank = F.row_number().over(W.partitionBy("class_a").orderBy("less", "class_b"))
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("class_a", "class_b")
+
+
 def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, group: int = GROUP) -> DataFrame:
-    """(class_a, class_b): for each class its k most similar others with a similarity of floor or more, and those the 16-bit
-    values can't tell from the k-th (at most EXTRA). The heaps a class has in several tasks are merged here."""
+    """(class_a, class_b): for each class its k most similar others with a similarity of floor or more, and some of those the 16-bit
+    values can't tell from the k-th. The heaps a class has in several tasks are merged here. Each keeps its k + EXTRA best, so what
+    it left out is no better than those: only where k + EXTRA can't be told from the k-th may one of the k best be missing. Such
+    classes are searched again in double precision."""
     packed, parts = blocks(classes, dim, group)
     near = _streamed(packed, parts, dim, lambda rows: _Searches(rows, k, floor))
+    worst = packed.agg(F.max("most")).first()[0] or 0.0
     order = W.partitionBy("class_a").orderBy(F.desc("near"), "class_b")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + EXTRA)
     kth = F.min(F.when(F.col("rank") <= k, F.col("near"))).over(W.partitionBy("class_a"))
-    return ranked.withColumn("kth", kth).where(F.col("near") >= F.col("kth") - 4 * (HALF_STEP * dim**0.5 + FLOAT_ERROR)).select("class_a", "class_b")
+    unsure = ranked.withColumn("kth", kth).where(F.col("near") >= F.col("kth") - 2 * (worst * (1 + worst) + worst + FLOAT_ERROR))
+    found = materialize(unsure.select("class_a", "class_b", "rank"), "partners")
+    full = found.where(F.col("rank") == k + EXTRA).select(F.col("class_a").alias("class_id"))
+    found = found.select("class_a", "class_b")
+    return found if full.isEmpty() else found.unionByName(exact_partners(full, classes, parts, dim, k, group))
 
 
 def spanning_links(classes: DataFrame, dim: int, floor: float, group: int = GROUP) -> DataFrame:
