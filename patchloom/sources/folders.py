@@ -91,7 +91,12 @@ def dump_images(images: DataFrame, folder: str, name: str = "id") -> None:
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, sep=" ", schema=schema)
+    return spark.read.csv(path, sep=" ", schema=schema, escape='"')
+
+
+def write_list(rows: DataFrame, path: str) -> None:
+    """A list file as bird_list reads it: fields with a blank or a quote are quoted, quotes doubled, backslashes left as they are."""
+    rows.coalesce(1).write.csv(path, sep=" ", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def bird_list(spark: SparkSession, root: str, is_training: bool | None = None, subset: tuple[str, ...] | None = None, files: dict[str, str] | None = None) -> DataFrame:

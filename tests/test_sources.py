@@ -1,4 +1,5 @@
 import gzip
+import os
 import struct
 
 import numpy as np
@@ -96,3 +97,24 @@ def test_matrices(spark, tmp_path):
     assert S.load_matrix(spark, str(tmp_path / "p")).count() == 20
     S.dump_matrix(df, str(tmp_path / "one"), 1)
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
+
+
+def test_bird_list_names_make_the_round_trip(spark, tmp_path):
+    names = ["plain/a.jpg", "with blank/a b.jpg", "back\\slash\\a.jpg", "both \\ of them\\", 'quo"ted "name".jpg', " outer "]
+    images = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "image_id long, path string")
+    of = lambda value: images.select("image_id", *[F.expr(v) for v in value])
+    for name, rows in (("images", images), ("image_class_labels", of(["1"])), ("train_test_split", of(["1"])), ("bounding_boxes", of(["1.0", "2.0", "3.0", "4.0"])), ("classes", spark.createDataFrame([(1, "a \\ class")], "c int, n string"))):
+        S.write_list(rows, f"{tmp_path}/{name}.txt")
+    have = S.bird_list(spark, str(tmp_path)).collect()
+    assert {r["image_id"]: r["path"] for r in have} == dict(enumerate(names))
+    assert {r["class_name"] for r in have} == {"a \\ class"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_bird_parts_of_all_names(spark):
+    from patchloom.queries import files
+
+    rows = files._all_birds(spark, "/root/testdata/sf0.01").where("box_x > 0 and box_y > 0 and box_w > 2 and box_h > 2")
+    odd = {r["image_id"] for r in rows.where("contains(images, ' ') or contains(images, '\\\\')").collect()}
+    have = {r["image_id"] for r in files.QUERIES["A9_bird_parts_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert odd and odd & have
