@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from patchloom.functions.images import images_from_vectors, long_form
-from patchloom.queries.inputs import X, r6, vectors
+from patchloom.queries.inputs import X, images, r6, vectors
 from patchloom.shared import scratch_path, table
 from patchloom.sources import binary as B
 from patchloom.sources import folders as S
@@ -36,8 +36,8 @@ def a2(spark, sf_dir):
     return long_form(S.from_array(spark, x.reshape(60, 8, 8).astype(np.float64), labels), "id", "label")
 
 
-def a3(spark, sf_dir):
-    few = images_from_vectors(table(spark, sf_dir, "embeddings").where("vec_id < 40"), "vec_id", "embedding", 8, 8, 1, "label")
+def a3(spark, sf_dir, rows="vec_id < 40"):
+    few = images_from_vectors(table(spark, sf_dir, "embeddings").where(rows), "vec_id", "embedding", 8, 8, 1, "label")
     few = few.withColumn("id", F.concat(F.lit("class_"), F.col("label"), F.lit("/"), F.col("id"))).withColumn("data", F.transform("data", lambda v: F.floor(F.least(F.greatest((v + 0.5) * 255, F.lit(0)), F.lit(255))).cast("double")))
     folder = scratch_path(spark, "two-layer")
     S.dump_images(few, folder)
@@ -137,6 +137,14 @@ def a16(spark, sf_dir):
     return S.broken_images(spark, _write(spark, "verify", **good, **{"bad.png": b"no image"}))
 
 
+def a16_all(spark, sf_dir):
+    """An image for each row, written in tasks, and one file that is none."""
+    folder = _write(spark, "verify", **{"bad.png": b"no image"})
+    pixels = F.transform("data", lambda v: F.floor(F.least(F.greatest((v + 0.5) * 255, F.lit(0)), F.lit(255))).cast("double"))
+    S.dump_images(images(spark, sf_dir).withColumn("data", pixels), folder)
+    return S.broken_images(spark, folder)
+
+
 def b2(spark, sf_dir):
     path = scratch_path(spark, "matrix")
     S.dump_matrix(vectors(spark, sf_dir).repartition(4), path)
@@ -153,6 +161,7 @@ def b3(spark, sf_dir):
 QUERIES = {
     "A2_array_set": a2, "A3_two_layer": a3, "A5_cifar": a5, "A6_mnist": a6, "A7_stl10": a7, "A8_bird_list": a8, "A9_bird_parts": a9, "A10_bird_subset": a10, "A11_dog_boxes": a11,
     "A14_load_matrix": a14, "A15_load_matrix_multi": a15, "A16_verify_images": a16, "B2_dump_matrix_multi": b2, "B3_save_model": b3, "K4_class_subset": k4,
+    "A3_two_layer_all": partial(a3, rows="true"), "A16_verify_images_all": a16_all,
     "A8_bird_list_all": partial(a8, birds=_all_birds), "A9_bird_parts_all": partial(a9, birds=_all_birds), "K4_class_subset_all": partial(k4, birds=_all_birds),
 }
 
@@ -193,3 +202,4 @@ select file_id, {_crop('x', 'y', 'w', 'h')} from once""",
 }
 _KEPT = r"where not contains(images, ' ') and not contains(class_name, ' ') and not contains(images, '\')"
 ORACLES |= {f"{name}_all": ORACLES[name].replace(_KEPT, "") for name in ("A8_bird_list", "A9_bird_parts", "K4_class_subset")}
+ORACLES |= {"A3_two_layer_all": ORACLES["A3_two_layer"].replace(" where vec_id < 40", ""), "A16_verify_images_all": "select count(*) + 1 as files, 1::bigint as broken from embeddings"}

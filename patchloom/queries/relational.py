@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def b1(spark, sf_dir):
     return _files(spark, path, "parquet").crossJoin(S.load_matrix(spark, path).agg(F.count("*").alias("n")))
 
 
-def b4(spark, sf_dir):
+def b4(spark, sf_dir, rows="id < 30"):
     path = scratch_path(spark, "dumped")
-    S.dump_images(images(spark, sf_dir).where("id < 30"), path)
+    S.dump_images(images(spark, sf_dir).where(rows), path)
     return _files(spark, path, "png")
 
 
@@ -110,13 +112,13 @@ def s7(spark, sf_dir):
 
 
 QUERIES = {
-    "A1_data_set": a1, "B1_dump_matrix": b1, "B4_dump_images": b4, "B5_convert": b5, "C7_jitter": c7, "D5_derivative_filters": d5, "I14_omp_n_maximize": i14, "L2_k_nearest": l2, "L4_class_ranks": l4,
+    "A1_data_set": a1, "B1_dump_matrix": b1, "B4_dump_images": b4, "B4_dump_images_all": partial(b4, rows="true"), "B5_convert": b5, "C7_jitter": c7, "D5_derivative_filters": d5, "I14_omp_n_maximize": i14, "L2_k_nearest": l2, "L4_class_ranks": l4,
     "M_union_distinct": m1, "O23_flattened": o23, "S1_suffix": s1, "S3_split": s3, "S7_keep_mask": s7,
 }
 
 ORACLES = {
     "A1_data_set": "select count(*) as size_total, 8::integer as h, 8::integer as w, 1::integer as c, count(distinct label) as labels from embeddings",
-    "B1_dump_matrix": "select 1::bigint as files, count(*) as n from embeddings", "B4_dump_images": "select count(*) as files from embeddings where vec_id < 30",
+    "B1_dump_matrix": "select 1::bigint as files, count(*) as n from embeddings", "B4_dump_images": "select count(*) as files from embeddings where vec_id < 30", "B4_dump_images_all": "select count(*) as files from embeddings",
     "B5_convert": "select vec_id, round(embedding[1]::double, 6) as first from embeddings",
     "C7_jitter": X + f"select a.vec_id as id, a.j, {r6('b.v')} as v from x a join x b on a.vec_id = b.vec_id and b.c = a.c and b.r = greatest(a.r - 1, 0)",
     "D5_derivative_filters": f"""with g as (select i, j, exp(-((i - 2) * (i - 2) + (j - 2) * (j - 2)) / 2.0) as v from range(5) s(i), range(5) t(j)), n as (select i, j, v / sum(v) over () as v from g),

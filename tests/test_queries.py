@@ -45,3 +45,14 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "j", "v"] and df.count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+@pytest.mark.parametrize("name, column", [("B4_dump_images_all", "files"), ("A16_verify_images_all", "files")])
+def test_files_hold_the_whole_table(spark, name, column):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert n > 60 and core.all_queries()[name](spark, DATA).first()[column] in (n, n + 1)
+
+
+def test_folders_hold_the_whole_table(spark):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert n > 60 and core.all_queries()["A3_two_layer_all"](spark, DATA).select("id").distinct().count() == n
