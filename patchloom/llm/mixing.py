@@ -43,9 +43,10 @@ class Node:
 
 
 def exact_total(node: Node) -> float:
-    """The largest total at which every child of the root gets exactly its weight."""
-    whole = sum(c.weight for c in node.children)
-    return min((c.capacity() * whole / c.weight for c in node.children if c.weight > 0), default=0.0)
+    """The largest total at which every child of the root that has any capacity gets exactly its weight among these."""
+    open_ = [c for c in node.children if c.weight > 0 and c.capacity() > 0]
+    whole = sum(c.weight for c in open_)
+    return min((c.capacity() * whole / c.weight for c in open_), default=0.0)
 
 
 def spend(node: Node, total: float) -> None:
@@ -140,7 +141,8 @@ def mixed(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed:
 
     -> (selection, report). selection: (doc_id, source, lang, n_tokens, uses), uses 1 .. max_repeats. report: a row for
     each target: (source, target_share, actual_share, tokens, available_tokens, documents, most_uses, max_repeats).
-    total: tokens to reach; None takes the most at which every source can hold its share exactly. A source that is too
+    total: tokens to reach; None takes the most at which every source can hold its share exactly; sources
+    without any tokens are left out of that and get a share of 0. A source that is too
     small for its share at a given total gives all it may, and the rest is shared among the others by their weights.
     Within a source, languages are weighted by their tokens. Documents are never cut, so a leaf misses its budget by
     at most half a document. Sources without a target, null sources and null sizes are no part of the mix.

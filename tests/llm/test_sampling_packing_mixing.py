@@ -190,3 +190,10 @@ def test_token_sizes(spark):
     assert got == {i: len(tokenizer.encode_ordinary(t)) for i, t in enumerate(texts) if t is not None}
     for t in texts[:-1]:
         assert tokenizer.decode(tokenizer.encode_ordinary(t)) == t
+
+
+def test_sources_without_tokens_leave_the_mix_to_the_others(spark):
+    rows = [(i, 10, "en", "a") for i in range(60)] + [(100 + i, 10, "en", "b") for i in range(30)] + [(200, 0, "en", "empty")]
+    _, report = mixed(sizes_of(spark, rows), targets_of(spark, [("a", 0.4, 1), ("b", 0.2, 1), ("empty", 0.2, 1), ("absent", 0.2, 1)]))
+    have = {r["source"]: (r["tokens"], round(r["actual_share"], 6)) for r in report.collect()}
+    assert have == {"a": (600, 0.666667), "b": (300, 0.333333), "empty": (0, 0.0), "absent": (0, 0.0)}
