@@ -20,6 +20,8 @@ SPAN, GRAM = 120, 64
 HOT = 256
 #: Longer texts are cut into pieces of this many characters that overlap by a span.
 PIECE = 1 << 20
+#: Anchors or windows that a task looks at together before it gives them on.
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -81,43 +83,81 @@ def anchors(hasher: _Hasher, text: str, span: int, k: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, text): text_id is the text's 64-bit hash; equal texts have equal ones."""
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("text_id", F.xxhash64("text"))
+def _identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, members). texts: (doc_id, h1, h2, text); members: (doc_id, class_id, n_chars), each doc_id once, in the shared folder.
+
+    class_id is the smallest doc_id with the same text, by 128 bits and the length. If deliveries of a doc_id differ, the text with the
+    least hash holds.
+    """
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
+    text = F.struct("h1", "h2", F.length("text").cast("long").alias("n_chars"))
+    told = materialize(rows.groupBy("doc_id").agg(F.min(text).alias("t"), F.max(text).alias("u")), "span-docs")
+    differ = told.where("t != u").select("doc_id", F.col("t.h1").alias("k1"), F.col("t.h2").alias("k2"))
+    if not differ.isEmpty():
+        rows = rows.join(differ, "doc_id", "left").where("k1 is null or (k1 = h1 and k2 = h2)").drop("k1", "k2")
+    same = told.groupBy("t").agg(F.min("doc_id").alias("class_id"))
+    members = materialize(told.join(same, "t").select("doc_id", "class_id", "t.n_chars"), "span-members")
+    return rows, members
 
 
-def _texts_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, n_chars), each doc_id once: if deliveries differ, the text with the least hash holds."""
-    rows = _classes(docs).select("doc_id", F.struct("text_id", F.length("text").cast("long").alias("n_chars")).alias("t"))
-    return rows.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.*")
+def _emitted(columns: list[list[np.ndarray]], names: list[str], key: str):
+    """Rows of a chunk, by what is known of their key: 1 if the chunk has it in several documents, else 0; and a row of kind 2 for each key of kind 1.
 
+    Of a key that a third of all documents have, a chunk leaves one document at most open, so no task that settles keys gets them all.
+    """
+    values = dict(zip(names, (np.concatenate(x) for x in columns), strict=True))
+    order = np.argsort(values[key], kind="stable")
+    values = {c: v[order] for c, v in values.items()}
+    keys, docs = values[key], values["doc_id"]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    several = np.minimum.reduceat(docs, start) < np.maximum.reduceat(docs, start)
+    kind = np.repeat(several, np.diff(np.r_[start, len(keys)])).astype(np.int32)
+    marks = start[several]
+    rows = np.concatenate((np.arange(len(keys)), marks))
+    kind = np.concatenate((kind, np.full(len(marks), 2, np.int32)))
+    for at in range(0, len(rows), 1 << 16):
+        part = rows[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(values[c][part].view(np.int64)) for c in names], pa.array(kind[at : at + (1 << 16)])], names=[*names, "kind"])
+
+
+def _in_several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key stands in several documents. What a chunk knew already is spread by document, only the rest meets by key."""
+    place = F.when(F.col("kind") == 1, F.col("doc_id")).otherwise(F.col(key))
+    of = W.partitionBy("place")
+    open_ = F.when(F.col("kind") == 0, F.col("doc_id"))
+    told = rows.withColumn("place", place).withColumn("lo", F.min(open_).over(of)).withColumn("hi", F.max(open_).over(of)).withColumn("marked", F.max(F.col("kind") == 2).over(of))
+    return told.where("kind = 1 or (kind = 0 and (marked or lo < hi))").drop("kind", "place", "lo", "hi", "marked")
+
+
+def _anchor_table(texts: DataFrame, span: int, k: int) -> DataFrame:
+    names = ["anchor", "doc_id", "pos", "link"]
 
-def _anchor_table(docs: DataFrame, span: int, k: int) -> DataFrame:
     def scan(batches):
-        hasher, seen = _Hasher(), set()
+        hasher, seen, held, size = _Hasher(), set(), [], 0
         for batch in batches:
-            ids, texts, out = batch.column("text_id").to_numpy(zero_copy_only=False), batch.column("text"), []
-            for i, text in zip(ids.tolist(), texts, strict=True):
-                if i in seen:
+            for doc, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "text")), strict=True):
+                if (h1, h2) in seen:
                     continue  # copies within a task are scanned once
-                seen.add(i)
-                h, pos, link = anchors(hasher, text.as_py(), span, k)
-                out.append((h, np.full(len(h), i, np.int64), pos, link))
-            if out:
-                h, i, pos, link = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(i), pa.array(pos), pa.array(link.view(np.int64))], names=["anchor", "text_id", "pos", "link"])
+                seen.add((h1, h2))
+                h, pos, link = anchors(hasher, text, span, k)
+                held.append((h.view(np.int64), np.full(len(h), doc, np.int64), pos, link))
+                size += len(h)
+                if size >= CHUNK:
+                    yield from _emitted(list(zip(*held, strict=True)), names, "anchor")
+                    held, size = [], 0
+        if size:
+            yield from _emitted(list(zip(*held, strict=True)), names, "anchor")
 
-    return _classes(docs).where(F.length("text") >= span).select("text_id", "text").mapInArrow(scan, "anchor long, text_id long, pos long, link long")
+    return texts.where(F.length("text") >= span).select("doc_id", "h1", "h2", "text").mapInArrow(scan, "anchor long, doc_id long, pos long, link long, kind int")
 
 
-def _shared_anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """Anchors of at least two different texts: (anchor, text_id, pos, link), each position once, written to the shared folder.
+def _shared_anchors(texts: DataFrame, members: DataFrame, span: int, k: int) -> DataFrame:
+    """Anchors that several documents have: (anchor, text_id, pos, link), each position of a text once, written to the shared folder.
 
-    The texts are scanned and the anchors shuffled once; of what is shuffled only the few shared anchors go on.
+    text_id: the class's doc_id. The texts are scanned once; of the anchors, only the few shared ones go on.
     """
-    of = W.partitionBy("anchor")
-    found = _anchor_table(docs, span, k).withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of))
-    return materialize(found.where("lo < hi").groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
+    found = _in_several(_anchor_table(texts, span, k), "anchor").join(members.select("doc_id", F.col("class_id").alias("text_id")), "doc_id")
+    return materialize(found.groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
 
 
 def _meetings(shared: DataFrame, *on: str) -> DataFrame:
@@ -126,20 +166,29 @@ def _meetings(shared: DataFrame, *on: str) -> DataFrame:
     return a.join(b, [*on]).where("text_a < text_b and (link_a != link_b or link_a = 0)").select("text_a", "pos_a", "text_b", "pos_b")
 
 
-def _representatives(docs: DataFrame) -> DataFrame:
-    return _classes(docs).groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
+def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(text_id, text, at): each text once with its places."""
+    wanted = places.distinct().groupBy("text_id").agg(F.collect_list("pos").alias("at"))
+    return wanted.join(texts.select(F.col("doc_id").alias("text_id"), "text"), "text_id").dropDuplicates(["text_id"]).select("text_id", "text", "at")
 
 
-def _contexts(docs: DataFrame, places: DataFrame, around: int, k: int) -> DataFrame:
-    """places: (text_id, pos) -> (text_id, pos, before, after): up to `around` characters before the anchor, it and as many after."""
-    wanted = places.distinct().groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id")
-    held = wanted.join(_classes(docs), ["text_id", "doc_id"]).select("text_id", F.explode("at").alias("pos"), "text")
-    start = F.greatest(F.col("pos") - around, F.lit(0))
-    return held.select(
-        "text_id", "pos",
-        F.reverse(F.substring("text", (start + 1).cast("int"), (F.col("pos") - start).cast("int"))).alias("before"),
-        F.substring("text", (F.col("pos") + 1).cast("int"), F.lit(k + around)).alias("after"),
-    )
+def _contexts(texts: DataFrame, places: DataFrame, around: int, k: int) -> DataFrame:
+    """places: (text_id, pos) -> (text_id, pos, before, after): up to `around` characters before the anchor, it and as many after.
+
+    All slices of a text are cut in one pass.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for i, text, at in zip(batch.column("text_id").to_pylist(), batch.column("text"), batch.column("at"), strict=True):
+                text, at = text.as_py(), at.as_py()
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    before = [text[max(p - around, 0) : p][::-1] for p in some]
+                    after = [text[p : p + k + around] for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(before), pa.array(after)], names=["text_id", "pos", "before", "after"])
+
+    return _with_places(texts, places).mapInArrow(cut, "text_id long, pos long, before string, after string")
 
 
 def _common_prefix(a: list[str], b: list[str]) -> np.ndarray:
@@ -156,43 +205,52 @@ def _common_prefix(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def _hot_windows(docs: DataFrame, places: DataFrame, span: int, k: int) -> DataFrame:
-    """Windows of `span` characters over the places' anchors that at least two texts have: (window, half, text_id, pos, link).
+def _windows(texts: DataFrame, places: DataFrame, span: int, k: int) -> DataFrame:
+    """Windows of `span` characters over the places' anchors that several texts have: (window, half, text_id, pos, link).
 
     window and half: hashes of the window and of its second half, 128 bits together. link: the hash of the window and the
     character before it, 0 if the window before is not looked at.
     """
-    held = places.groupBy("text_id").agg(F.collect_list("pos").alias("at")).join(_representatives(docs), "text_id").join(_classes(docs), ["text_id", "doc_id"]).select("text_id", "text", "at")
+    names = ["window", "half", "doc_id", "pos", "link"]
 
-    def windows(batches):
+    def scan(batches):
+        hasher, held, size = _Hasher(), [], 0
         for batch in batches:
             for i, text, at in zip(batch.column("text_id").to_pylist(), batch.column("text"), batch.column("at"), strict=True):
-                text, at = text.as_py(), np.asarray(at.as_py(), np.int64)
-                hasher = _Hasher(len(text))
+                text, at = text.as_py(), np.sort(np.asarray(at.as_py(), np.int64))
+                if len(text) >= len(hasher.up):
+                    hasher = _Hasher(len(text))
                 hasher.load(text)
-                starts = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(text) - span)]
-                link = np.zeros(len(starts), np.uint64)
-                after = np.flatnonzero(np.diff(starts) == 1) + 1
-                link[after] = hasher.between(starts[after] - 1, starts[after] + span)
-                h, half = hasher.between(starts, starts + span), hasher.between(starts + span // 2, starts + span)
-                for lo in range(0, len(starts), 65536):
-                    part = slice(lo, lo + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(half[part].view(np.int64)), pa.array(np.full(len(h[part]), i)), pa.array(starts[part]), pa.array(link[part].view(np.int64))], names=["window", "half", "text_id", "pos", "link"])
-
-    of = W.partitionBy("window")
-    seen = held.mapInArrow(windows, "window long, half long, text_id long, pos long, link long")
-    return seen.withColumn("lo", F.min("text_id").over(of)).withColumn("hi", F.max("text_id").over(of)).where("lo < hi").drop("lo", "hi")
-
-
-def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = HOT) -> DataFrame:
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    first = -1 if lo == 0 else at[lo - 1]  # the windows of the places before are done
+                    starts = np.unique((some[:, None] - np.arange(span - k + 1)).ravel())
+                    starts = starts[(starts > first) & (starts >= 0) & (starts <= len(text) - span)]
+                    link = np.zeros(len(starts), np.uint64)
+                    after = np.flatnonzero(np.diff(starts, prepend=first) == 1)
+                    after = after[starts[after] > 0]
+                    link[after] = hasher.between(starts[after] - 1, starts[after] + span)
+                    h, half = hasher.between(starts, starts + span), hasher.between(starts + span // 2, starts + span)
+                    held.append((h.view(np.int64), half, np.full(len(h), i, np.int64), starts, link))
+                    size += len(h)
+                    if size >= CHUNK:
+                        yield from _emitted(list(zip(*held, strict=True)), names, "window")
+                        held, size = [], 0
+        if size:
+            yield from _emitted(list(zip(*held, strict=True)), names, "window")
+
+    seen = _with_places(texts, places).mapInArrow(scan, "window long, half long, doc_id long, pos long, link long, kind int")
+    return _in_several(seen, "window").withColumnRenamed("doc_id", "text_id")
+
+
+def _sharing_texts(texts: DataFrame, members: DataFrame, span: int, k: int, hot: int) -> DataFrame:
     """(text_a, text_b), text_a < text_b: all pairs of different texts with a common span of at least `span` characters."""
-    shared = _shared_anchors(docs, span, k)
+    shared = _shared_anchors(texts, members, span, k)
     often = shared.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
     few, many = shared.join(often, "anchor", "left_anti"), shared.join(often, "anchor", "left_semi")
     met = materialize(_meetings(few, "anchor"), "span-meetings")
     places = met.select(F.col("text_a").alias("text_id"), F.col("pos_a").alias("pos")).union(met.select("text_b", "pos_b"))
-    around = materialize(_contexts(docs, places, span - k, k), "span-contexts")
+    around = materialize(_contexts(texts, places, span - k, k), "span-contexts")
 
     def long_enough(batches):
         for batch in batches:
@@ -205,7 +263,7 @@ def sharing_texts(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = H
     found = both.select("text_a", "text_b", "before_a", "after_a", "before_b", "after_b").mapInArrow(long_enough, "text_a long, text_b long")
     if many.isEmpty():
         return found.distinct()
-    windows = materialize(_hot_windows(docs, many, span, k), "span-windows")
+    windows = materialize(_windows(texts, many.select("text_id", "pos"), span, k), "span-windows")
     return found.union(_meetings(windows, "window", "half").select("text_a", "text_b")).distinct()
 
 
@@ -215,34 +273,46 @@ def sharing_documents(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int
     Rows count once by doc_id (if deliveries differ, the text with the least hash). Null ids and null texts are left out, texts of under `span` characters are in
     no pair, whole texts of any length are read, other columns don't matter, an empty table gives no pairs.
     """
-    members = materialize(_texts_of(docs).where(F.col("n_chars") >= span).select("doc_id", "text_id"), "span-members")
-    pairs = sharing_texts(docs, span, k, hot)
-    a, b = (members.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text_id").alias(f"text_{s}")) for s in "ab")
+    texts, members = _identified(docs)
+    pairs = _sharing_texts(texts, members, span, k, hot)
+    a, b = (members.where(F.col("n_chars") >= span).select(F.col("doc_id").alias(f"doc_{s}"), F.col("class_id").alias(f"text_{s}")) for s in "ab")
     across = pairs.join(a, "text_a").join(b, "text_b").select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
     copies = a.join(b.withColumnRenamed("text_b", "text_a"), "text_a").where("doc_a < doc_b").select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
     return across.union(copies)
 
 
+def sharing_classes(docs: DataFrame, span: int = SPAN, k: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (class_a, class_b) of different texts that share a span, and (doc_id, class_id, n_chars), copies not expanded.
+
+    Rows, nulls, short and long texts as in sharing_documents. class_id: the smallest doc_id with the same text.
+    """
+    texts, members = _identified(docs)
+    pairs = _sharing_texts(texts, members, span, k, hot)
+    return pairs.select(F.col("text_a").alias("class_a"), F.col("text_b").alias("class_b")), members
+
+
 def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """docs -> (doc_id, n_chars, shared_chars, spans): how much of each document stands verbatim in another one.
 
     A character counts if some run of `span` characters that holds it stands in another document. Of a text that
     several documents have, all of it counts if it has `span` characters. Only windows over an anchor that two texts
-    share can be common, so only their hashes are compared.
+    share can be common, so only their hashes (128 bits) are compared.
     """
-    windows = _hot_windows(docs, _shared_anchors(docs, span, k).select("text_id", "pos").distinct(), span, k)
-    starts = windows.groupBy("text_id").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+    texts, rows = _identified(docs)
+    windows = _windows(texts, _shared_anchors(texts, rows, span, k).select("text_id", "pos"), span, k)
+    common = windows.groupBy("window", "half").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("window", "half")
+    windows = windows.join(common, ["window", "half"], "left_semi")
+    starts = windows.groupBy("text_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     gap = lambda acc, s: F.struct(
         (acc["covered"] + F.least(F.lit(span).cast("long"), s + span - acc["upto"])).alias("covered"),
         (acc["spans"] + F.when(s > acc["upto"], 1).otherwise(0).cast("long")).alias("spans"),
         (s + span).alias("upto"),
     )
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("spans"), F.lit(-1).cast("long").alias("upto"))
-    cover = starts.select("text_id", F.aggregate("starts", zero, gap).alias("c")).select("text_id", F.col("c.covered").alias("covered"), F.col("c.spans").alias("found"))
-    rows = _texts_of(docs)
-    copies = rows.groupBy("text_id").agg(F.count("*").alias("copies"))
+    cover = starts.select(F.col("text_id").alias("class_id"), F.aggregate("starts", zero, gap).alias("c")).select("class_id", F.col("c.covered").alias("covered"), F.col("c.spans").alias("found"))
+    copies = rows.groupBy("class_id").agg(F.count("*").alias("copies"))
     whole = (F.col("copies") > 1) & (F.col("n_chars") >= span)
-    return rows.join(copies, "text_id").join(cover, "text_id", "left").select(
+    return rows.join(copies, "class_id").join(cover, "class_id", "left").select(
         "doc_id", "n_chars",
         F.when(whole, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0).cast("long"))).alias("shared_chars"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("found", F.lit(0).cast("long"))).alias("spans"),

@@ -82,6 +82,78 @@ def test_lengths(spark, parts):
     assert got == want
 
 
+class SuffixAutomaton:
+    """Of one text; matching() gives, for each place of another text, the length of the longest match that ends there."""
+
+    def __init__(self, text):
+        self.next, self.link, self.length = [{}], [-1], [0]
+        last = 0
+        for c in text:
+            now, p = len(self.next), last
+            self.next.append({})
+            self.length.append(self.length[last] + 1)
+            self.link.append(0)
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = now
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[p] + 1 == self.length[q]:
+                    self.link[now] = q
+                else:
+                    copy = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    self.length.append(self.length[p] + 1)
+                    self.link.append(self.link[q])
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = copy
+                        p = self.link[p]
+                    self.link[q] = self.link[now] = copy
+            last = now
+
+    def matching(self, text):
+        out, at, n = [], 0, 0
+        for c in text:
+            while at and c not in self.next[at]:
+                at = self.link[at]
+                n = self.length[at]
+            if c in self.next[at]:
+                at, n = self.next[at][c], n + 1
+            out.append(n)
+        return out
+
+
+def test_lengths_equal_matching_statistics_of_suffix_automata(spark):
+    """Each text against an automaton of all others, joined by characters that stand nowhere else."""
+    rows = [(i, t) for i, t in {i: t for i, t in made(11, 25) if i is not None and t is not None}.items() if len(t) < 350]
+    want = {}
+    for i, t in rows:
+        others = SuffixAutomaton("".join(chr(0x20000 + j) + u for j, (k, u) in enumerate(rows) if k != i))
+        covered = [False] * len(t)
+        for end, n in enumerate(others.matching(t), 1):
+            if n >= 120:
+                covered[end - n : end] = [True] * n
+        want[i] = sum(covered)
+    assert {r["doc_id"]: r["shared_chars"] for r in shared_lengths(frame(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 20])
+def test_chunks_do_not_matter(spark, monkeypatch, chunk):
+    """What a chunk of anchors or windows knows to be shared, and what only meets later, give the same rows."""
+    monkeypatch.setattr(shared_spans, "CHUNK", chunk)
+    rows = made(12)
+    assert {tuple(r) for r in sharing_documents(frame(spark, rows).repartition(2)).collect()} == brute(rows)
+    assert {tuple(r) for r in sharing_documents(frame(spark, rows).repartition(2), hot=0).collect()} == brute(rows)
+
+
+def test_classes_are_not_expanded(spark):
+    rng = random.Random(13)
+    t = "".join(rng.choice("abcdef") for _ in range(300))
+    pairs, members = shared_spans.sharing_classes(frame(spark, [(i, t) for i in range(5)] + [(9, t[20:200])]))
+    assert {tuple(r) for r in pairs.collect()} == {(0, 9)}
+    assert {(r["doc_id"], r["class_id"]) for r in members.collect()} == {(i, 0) for i in range(5)} | {(9, 9)}
+
+
 def test_long_texts_are_read_whole(spark, monkeypatch):
     """Pieces overlap by a span, so a match across their border is found."""
     monkeypatch.setattr(shared_spans, "PIECE", 1 << 10)
