@@ -61,6 +61,10 @@ def p3_clusters(spark, sf_dir):
     return described_clusters(_vectors(spark, sf_dir))
 
 
+def p3_groups(spark, sf_dir):
+    return described_clusters(_vectors(spark, sf_dir), grouped=True).select("cluster_id", "size")
+
+
 def p5_patches(spark, sf_dir):
     rows = table(spark, sf_dir, "pipeline_patches").select("patch_id", "patches")
     return fixed_size_sample(rows, "patch_id", 1000).select("patch_id", "sample_key", F.size("patches").alias("n_values"))
@@ -110,7 +114,7 @@ def p9_shared(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clusters, p5_patches, p5_images, p6_found, p6_report, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_shared)
+    for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clusters, p3_groups, p5_patches, p5_images, p6_found, p6_report, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_shared)
 }
 
 _UNIT = """
@@ -174,6 +178,7 @@ with windows as (select distinct doc_id, text[i : i + 119] as w from (select doc
 twice as (select w, list(doc_id) as docs from windows group by w having count(*) > 1)
 select distinct a as doc_id_a, b as doc_id_b from (select a, unnest(docs) as b from (select docs, unnest(docs) as a from twice)) where a < b
 """
+ORACLES["p3_groups"] = ORACLES["p3_found"].replace("select v as vec_id, cluster_id from named where n >= 3", "select cluster_id, count(*) as size from named where n >= 3 group by cluster_id")
 ORACLES["p1_neighbours"] = _UNIT.replace("where list_inner_product(a.u, b.u) >= 0.6999", "", 1) + """
 , ends as (select a as v, b as o, sim from sims union all select b, a, sim from sims),
 ranked as (select *, row_number() over (partition by v order by sim desc, o) as rn from ends)

@@ -31,8 +31,12 @@ EXACT_BLOCK = 512
 DECIMALS = 10**9
 
 
-def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame, int]:
-    """classes: (class_id, vec) -> (part, block of up to BLOCK vectors as bytes) in the shared folder, and the number of parts."""
+def blocks(classes: DataFrame, dim: int, group: int = GROUP, unit: bool = True) -> tuple[DataFrame, int]:
+    """classes: (class_id, vec) -> (part, block of up to BLOCK vectors as bytes) in the shared folder, and the number of parts.
+
+    unit: vectors are centred and brought to length 1; without it they are taken as they are, and must not be longer than 1.
+    """
+    ready = unit_rows if unit else np.asarray
     n = classes.count()
     # enough parts for all cores, but none so small that sending every block to it costs more than its products
     parts = max(1, -(-n // group), min(classes.sparkSession.sparkContext.defaultParallelism * 2, -(-n // (2 * BLOCK))))
@@ -45,7 +49,7 @@ def blocks(classes: DataFrame, dim: int, group: int = GROUP) -> tuple[DataFrame,
         def emit(rows):
             ids, x = (np.concatenate(v) for v in zip(*rows, strict=True))
             for at in range(0, len(ids), BLOCK):
-                hi, lo, step, e8, e16 = planes(unit_rows(x[at : at + BLOCK]))
+                hi, lo, step, e8, e16 = planes(ready(x[at : at + BLOCK]))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "ids": [ids[at : at + BLOCK].tobytes()], "hi": [hi.tobytes()], "lo": [lo.tobytes()], "step": [step.tobytes()], "e8": [e8.tobytes()], "e16": [e16.tobytes()], "most": [float(e16.max())]})
 
         for batch in batches:
@@ -381,18 +385,19 @@ class _Exact:
         return np.repeat(self.ids, there.sum(1)), self.others[there], self.less[there]
 
 
-def exact_partners(some: DataFrame, classes: DataFrame, slices: int, dim: int, k: int, group: int = GROUP) -> DataFrame:
+def exact_partners(some: DataFrame, classes: DataFrame, slices: int, dim: int, k: int, group: int = GROUP, unit: bool = True) -> DataFrame:
     """(class_a, class_b): for each class_id of some its k most similar others, in double precision.
 
     A task has a group of them and a slice of all classes; the lists a class has in several tasks are merged here.
     """
     groups = max(1, -(-some.count() // group))
+    ready = unit_rows if unit else np.asarray
 
     def pack(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, EXACT_BLOCK):
                 rows = batch.slice(at, EXACT_BLOCK)
-                u = unit_rows(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                u = ready(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 yield pa.RecordBatch.from_pydict({"ids": [rows.column("class_id").to_numpy(zero_copy_only=False).tobytes()], "u": [u.tobytes()]})
 
     made = lambda df, kind: df.select("class_id", "vec").mapInArrow(pack, "ids binary, u binary").withColumn("kind", F.lit(kind))
@@ -422,12 +427,12 @@ def exact_partners(some: DataFrame, classes: DataFrame, slices: int, dim: int, k
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("class_a", "class_b")
 
 
-def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, group: int = GROUP) -> DataFrame:
+def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, group: int = GROUP, unit: bool = True) -> DataFrame:
     """(class_a, class_b): for each class its k most similar others with a similarity of floor or more, and some of those the 16-bit
     values can't tell from the k-th. The heaps a class has in several tasks are merged here. Each keeps its k + EXTRA best, so what
     it left out is no better than those: only where k + EXTRA can't be told from the k-th may one of the k best be missing. Such
     classes are searched again in double precision."""
-    packed, parts = blocks(classes, dim, group)
+    packed, parts = blocks(classes, dim, group, unit)
     near = _streamed(packed, parts, dim, lambda rows: _Searches(rows, k, floor))
     worst = packed.agg(F.max("most")).first()[0] or 0.0
     order = W.partitionBy("class_a").orderBy(F.desc("near"), "class_b")
@@ -437,7 +442,7 @@ def best_partners(classes: DataFrame, dim: int, k: int, floor: float = -2.0, gro
     found = materialize(unsure.select("class_a", "class_b", "rank"), "partners")
     full = found.where(F.col("rank") == k + EXTRA).select(F.col("class_a").alias("class_id"))
     found = found.select("class_a", "class_b")
-    return found if full.isEmpty() else found.unionByName(exact_partners(full, classes, parts, dim, k, group))
+    return found if full.isEmpty() else found.unionByName(exact_partners(full, classes, parts, dim, k, group, unit))
 
 
 def spanning_links(classes: DataFrame, dim: int, floor: float, group: int = GROUP) -> DataFrame:

@@ -79,12 +79,16 @@ def directions(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     return members, materialize(classes, "vec-classes")
 
 
-def similarity(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs of class ids -> (a, b, sim): the cosine after subtracting each vector's mean, in double precision, to 9 decimals."""
+def similarity(pairs: DataFrame, classes: DataFrame, a: str, b: str, unit: bool = True) -> DataFrame:
+    """pairs of class ids -> (a, b, sim): the cosine after subtracting each vector's mean, in double precision, to 9 decimals.
+
+    Without unit: the product of the vectors as they are.
+    """
+    ready = unit_rows if unit else np.asarray
 
     def exact(batches):
         for batch in _sliced(batches):
-            u = [unit_rows(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) for c in ("vec_a", "vec_b") if batch.num_rows]
+            u = [ready(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) for c in ("vec_a", "vec_b") if batch.num_rows]
             if u:
                 yield pa.RecordBatch.from_arrays([batch.column(a), batch.column(b), pa.array(np.round((u[0] * u[1]).sum(1), 9))], names=[a, b, "sim"])
 
