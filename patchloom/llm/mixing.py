@@ -17,6 +17,8 @@ from patchloom.shared import materialize
 
 #: A leaf's epoch order is cut into this many slices; only one slice of a leaf is ever ordered row by row.
 SLICES = 4096
+#: A tree is made on the driver and its budgets are broadcast, so it has so many leaves at most: some 10 MB.
+MOST_LEAVES = 100_000
 
 
 @dataclass
@@ -109,9 +111,12 @@ def select_by_tree(docs: DataFrame, levels: list[str], weights: dict[Path, float
     """docs: (doc_id, n_tokens, *levels), one row for each doc_id, no nulls -> (doc_id, *levels, n_tokens, uses).
 
     levels: the columns of the tree from the root down, such as domain, language, source. The tree has a node for each
-    combination of their values that there is: it is made on the driver and must not grow with the documents.
+    combination of their values that there is: more than MOST_LEAVES of them are refused.
     """
-    stats = [(tuple(r[c] for c in levels), int(r["tokens"])) for r in docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).collect()]
+    found = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
+    if len(found) > MOST_LEAVES:
+        raise ValueError(f"a mix has at most {MOST_LEAVES} leaves: levels must not grow with the documents")
+    stats = [(tuple(r[c] for c in levels), int(r["tokens"])) for r in found]
     root = tree_of(stats, weights, repeats)
     spend(root, exact_total(root) if total is None else float(total))
     rows = [(*path[1:], int(n.budget + 1e-6) // n.size, int(n.budget + 1e-6) % n.size) for path, n in root.leaves() if len(path) == len(levels) + 1 and n.size]

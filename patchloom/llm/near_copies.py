@@ -20,8 +20,8 @@ from patchloom.shared import materialize, mix64, spread
 RUN, LEAST_RUNS, THRESHOLD = 8, 32, 0.6
 #: A guaranteed minimum of matches within the indexed runs.
 MATCHES = 8
-#: Cells of the count sketch that orders runs by rarity: its size doesn't depend on the data.
-SKETCH_BITS = 20
+#: The count sketch that orders runs by rarity has a cell for every fourth run of all records, but 2^16 at least and 2^24 at most.
+LEAST_BITS, MOST_BITS = 16, 24
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -81,10 +81,13 @@ def _prepared(records: DataFrame, run: int, least_runs: int) -> DataFrame:
 
 
 def _sketch(records: DataFrame, run: int, bits: int) -> np.ndarray:
-    """How many records have a run of each cell, summed over all records; at most 2^bits numbers reach the driver."""
+    """How many records have a run of each cell, summed over all records, as 8 times the logarithm to base 2 of it; 0 for one or none.
+
+    A byte a cell is what the driver broadcasts, whatever the counts.
+    """
 
     def count(batches):
-        cells = np.zeros(1 << bits, np.int64)
+        cells = np.zeros(1 << bits, np.int32)
         for pdf in batches:
             for packed in pdf["packed"]:
                 at = (run_set(unpack(packed), run) >> np.uint64(64 - bits)).astype(np.int64)
@@ -100,15 +103,19 @@ def _sketch(records: DataFrame, run: int, bits: int) -> np.ndarray:
     parts = records.select("packed").mapInPandas(count, "part int, cells binary")
     halfway = parts.groupBy("part", (F.spark_partition_id() % 64).alias("some")).applyInPandas(add, "part int, cells binary")
     rows = halfway.groupBy("part").applyInPandas(add, "part int, cells binary").collect()
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint8)
     for r in rows:
-        out[r["part"] : r["part"] + (1 << 14)] = np.frombuffer(zlib.decompress(r["cells"]), "<i8")
-    return out.clip(max=2**31 - 1).astype(np.int32)
+        counts = np.frombuffer(zlib.decompress(r["cells"]), "<i8")
+        out[r["part"] : r["part"] + (1 << 14)] = 8 * np.log2(counts.clip(1, 1 << 31))
+    return out
 
 
-def similar_run_sets(records: DataFrame, threshold: float, run: int, matches: int, bits: int) -> DataFrame:
+def similar_run_sets(records: DataFrame, threshold: float, run: int, matches: int, bits: int | None) -> DataFrame:
     """records: (id, n, packed), each run set once -> (id_a, id_b) with id_a < id_b and a similarity of at least threshold."""
     spark = records.sparkSession
+    if bits is None:
+        runs = records.agg(F.sum("n")).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, int(runs // 4).bit_length()))
     rare = spark.sparkContext.broadcast(_sketch(records, run, bits))
 
     def index(batches):
@@ -119,7 +126,7 @@ def similar_run_sets(records: DataFrame, threshold: float, run: int, matches: in
                 runs = run_set(unpack(packed), run)
                 seen = counts[(runs >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((runs, seen))[: len(runs) - int(np.ceil(threshold * len(runs) - 1e-9)) + matches]
-                order = order[seen[order] > 1]  # a run counted once stands nowhere else
+                order = order[seen[order] > 0]  # a run counted once stands nowhere else
                 runs_.append(runs[order].view(np.int64))
                 ids.append(np.full(len(order), i, np.int64))
                 sizes.append(np.full(len(order), len(runs), np.int32))
@@ -134,21 +141,25 @@ def similar_run_sets(records: DataFrame, threshold: float, run: int, matches: in
 
     def verify(batches):
         for pdf in batches:
+            made: dict[int, np.ndarray] = {}  # each record of a batch is unpacked once
+
+            def runs_of(i, packed, made=made):
+                if i not in made:
+                    made[i] = run_set(unpack(packed), run)
+                return made[i]
+
             keep = np.zeros(len(pdf), bool)
-            last, runs_a = None, None
-            for at, (i, a_, b_) in enumerate(zip(pdf["id_a"].tolist(), pdf["packed_a"], pdf["packed_b"], strict=True)):
-                if i != last:
-                    last, runs_a = i, run_set(unpack(a_), run)
-                runs_b = run_set(unpack(b_), run)
-                both = len(runs_a) + len(runs_b) - len(np.unique(np.concatenate((runs_a, runs_b))))
-                keep[at] = both >= threshold * (len(runs_a) + len(runs_b) - both) - 1e-12
+            for at, (i, j, a_, b_) in enumerate(zip(pdf["id_a"].tolist(), pdf["id_b"].tolist(), pdf["packed_a"], pdf["packed_b"], strict=True)):
+                x, y = runs_of(i, a_), runs_of(j, b_)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[at] = both >= threshold * (len(x) + len(y) - both) - 1e-12
             yield pdf.loc[keep, ["id_a", "id_b"]]
 
     side = lambda s: records.select(F.col("id").alias(f"id_{s}"), F.col("packed").alias(f"packed_{s}"))
     return candidates.join(side("a"), "id_a").join(side("b"), "id_b").mapInPandas(verify, "id_a long, id_b long")
 
 
-def _classes(records: DataFrame, run: int, least_runs: int, threshold: float, matches: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def _classes(records: DataFrame, run: int, least_runs: int, threshold: float, matches: int, bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(members: id, class_id), (pairs of class ids)."""
     if matches > np.ceil(threshold * least_runs):
         raise ValueError("matches must not exceed what two records of least_runs runs share")
@@ -161,7 +172,7 @@ def _classes(records: DataFrame, run: int, least_runs: int, threshold: float, ma
     return members, materialize(similar_run_sets(once, threshold, run, matches, bits), "copies-pairs")
 
 
-def near_copy_pairs(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_runs: int = LEAST_RUNS, matches: int = MATCHES, bits: int = SKETCH_BITS) -> DataFrame:
+def near_copy_pairs(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_runs: int = LEAST_RUNS, matches: int = MATCHES, bits: int | None = None) -> DataFrame:
     """records: (id long, seq array<int>) -> (id_a, id_b), the smaller id first: records whose distinct runs are alike.
 
     Alike: the common runs are at least `threshold` of the runs of either. Repeated rows count once (if deliveries of an id
@@ -175,7 +186,7 @@ def near_copy_pairs(records: DataFrame, threshold: float = THRESHOLD, run: int =
     return across.union(copies)
 
 
-def near_copy_groups(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_runs: int = LEAST_RUNS, matches: int = MATCHES, bits: int = SKETCH_BITS) -> DataFrame:
+def near_copy_groups(records: DataFrame, threshold: float = THRESHOLD, run: int = RUN, least_runs: int = LEAST_RUNS, matches: int = MATCHES, bits: int | None = None) -> DataFrame:
     """records as near_copy_pairs -> (id, class_id, group_id, n_links), a row for each record with enough runs.
 
     class_id: the smallest id with the same runs; group_id: the smallest id that is linked directly or through others;

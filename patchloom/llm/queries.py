@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.mixing import mixed
+from patchloom.llm.mixing import clean_language, clean_source, mixed, select_by_tree
 from patchloom.llm.near_copies import near_copy_groups, near_copy_pairs
 from patchloom.llm.packing import fill_report, packed
 from patchloom.llm.sampling import fixed_size_sample
-from patchloom.llm.shared_spans import shared_lengths, sharing_documents
+from patchloom.llm.shared_spans import shared_lengths, sharing_classes, sharing_documents
 from patchloom.llm.similar_vectors import most_similar, similar_pairs
 from patchloom.llm.similarity_clusters import described_clusters, similarity_clusters
 from patchloom.llm.split_overlap import split_overlaps
@@ -104,6 +104,46 @@ def p8_shares(spark, sf_dir):
     return _mix(spark, sf_dir)[1]
 
 
+def p8_tree(spark, sf_dir):
+    """Domain, language, source, with a total of nine tenths of all tokens: scarce sources fall short, and what they lack moves to siblings, then up."""
+    docs = token_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=("lang", "source")).where("source is not null")
+    source = clean_source(F.col("source"))
+    domain = F.when(source.endswith("_mirror"), "mirrors").when(source.isin("archive_dump", "vendor_drop"), "dumps").otherwise("people")
+    docs = docs.select("doc_id", "n_tokens", domain.alias("domain"), clean_language(F.col("lang")).alias("lang"), source.alias("source"))
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").collect()}
+    leaves = [tuple(r) for r in docs.select("domain", "lang", "source").distinct().collect() if r["source"] in targets]
+    weights = {leaf: targets[leaf[2]][0] for leaf in leaves} | {(d,): sum(targets[s][0] for s in {x[2] for x in leaves if x[0] == d}) for d in {x[0] for x in leaves}}
+    repeats = {leaf: int(targets[leaf[2]][1]) for leaf in leaves}
+    total = 0.9 * (docs.agg(F.sum("n_tokens")).first()[0] or 0)
+    used = select_by_tree(docs, ["domain", "lang", "source"], weights, repeats, total)
+    return used.groupBy("domain", "lang", "source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
+
+
+def p8_invariants(spark, sf_dir):
+    """For each target: whether any document is used twice as a row, more often than allowed, or never; whether the report adds up."""
+    selection, report = _mix(spark, sf_dir)
+    used = selection.groupBy("source").agg((F.count("*") - F.countDistinct("doc_id")).alias("twice"), F.min("uses").alias("least"), F.max("uses").alias("most"), F.sum(F.col("uses") * F.col("n_tokens")).alias("sum"))
+    told = report.join(used, "source", "left")
+    return told.select("source", "target_share", F.coalesce("twice", F.lit(0).cast("long")).alias("rows_twice"), (F.coalesce("least", F.lit(1)) >= 1).alias("all_used"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"), (F.coalesce("sum", F.lit(0)) == F.col("tokens")).alias("tokens_add_up"))
+
+
+def p7_invariants(spark, sf_dir):
+    """Documents in containers, and what must be 0: lost or added tokens, overfull containers, documents of up to a container's size that are cut."""
+    sizes = token_sizes(_documents(spark, sf_dir))
+    placed = packed(sizes)
+    each = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(sizes, "doc_id", "full")
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where("used > 2048").agg(F.count("*").alias("overfull"))
+    each = each.agg(F.count("placed").alias("documents"), F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("wrong_tokens"), F.count_if((F.col("n_tokens") <= 2048) & (F.col("pieces") > 1)).alias("cut"))
+    return each.join(full)  # one row each
+
+
+def p9_groups(spark, sf_dir):
+    """One row for each document: its class of equal texts and the other texts that share a span with it; copies are not expanded."""
+    pairs, members = sharing_classes(_documents(spark, sf_dir))
+    links = pairs.select(F.col("class_a").alias("class_id")).union(pairs.select("class_b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def p9_found(spark, sf_dir):
     return sharing_documents(_documents(spark, sf_dir))
 
@@ -114,7 +154,7 @@ def p9_shared(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clusters, p3_groups, p5_patches, p5_images, p6_found, p6_report, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_shared)
+    for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_clusters, p3_groups, p5_patches, p5_images, p6_found, p6_report, p7_containers, p7_fill, p7_invariants, p8_selection, p8_shares, p8_tree, p8_invariants, p9_found, p9_groups, p9_shared)
 }
 
 _UNIT = """
@@ -204,3 +244,13 @@ starts as (select doc_id, i, lag(i) over (partition by doc_id order by i) as bef
 told as (select doc_id, sum(least(120, i - coalesce(before, -1000000)))::bigint as shared_chars, sum((before is null or i > before + 120)::int)::bigint as spans from starts group by doc_id)
 select doc_id, length(text) as n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(spans, 0) as spans from documents left join told using (doc_id)
 """
+ORACLES["p7_invariants"] = "select count(distinct doc_id) as documents, 0::bigint as wrong_tokens, 0::bigint as cut, 0::bigint as overfull from documents where doc_id is not null and text is not null"
+ORACLES["p8_invariants"] = "select replace(lower(trim(source)), '-', '_') as source, target_share, 0::bigint as rows_twice, true as all_used, true as cap_kept, true as tokens_add_up from mix_targets"
+ORACLES["p9_groups"] = """
+with once as (select doc_id, any_value(text) as text from documents where doc_id is not null and text is not null group by doc_id),
+members as (select doc_id, min(doc_id) over (partition by text) as class_id, text from once),
+windows as (select distinct doc_id, text[i : i + 119] as w from (select doc_id, text, unnest(generate_series(1, length(text) - 119)) as i from members where doc_id = class_id and length(text) >= 120)),
+twice as (select list(doc_id) as docs from windows group by w having count(*) > 1),
+links as (select a, count(distinct b) as n from (select a, unnest(docs) as b from (select docs, unnest(docs) as a from twice)) where a != b group by a)
+select doc_id, class_id, coalesce(n, 0) as n_links from members left join links on a = class_id
+"""

@@ -55,27 +55,31 @@ def minhash_bands(names: pd.Series, n: int, bands: int, rows: int, seed: int = 7
 
 
 def overlapping_names(names: DataFrame, threshold: float = 0.6, n: int = 4, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """names: (name string unique, in_train boolean, in_eval boolean) -> (name_train, name_eval), each pair once.
+    """names: (name_no long, name string, in_train boolean, in_eval boolean), both unique -> (train_no, eval_no), each pair once.
 
     A pair is given if the share of common shingles among all shingles of both reaches the threshold. Null names and
     names of under n characters have no shingles and are in no pair. A name of both splits pairs with itself.
+    Buckets are shuffled with the numbers of names; the names themselves join only the distinct candidates.
     """
 
     def banded(batches):
         for pdf in batches:
             for _, part in pdf.groupby(pdf["name"].str.len().cumsum() // CHARACTERS):
                 keys = minhash_bands(part["name"], n, bands, rows)
-                yield pd.DataFrame({"bucket": keys.ravel(), **{c: np.repeat(part[c].to_numpy(), bands) for c in ("name", "in_train", "in_eval")}})
-
-    keyed = names.select("name", "in_train", "in_eval").where(F.length("name") >= n).mapInPandas(banded, "bucket long, name string, in_train boolean, in_eval boolean")
-    train = keyed.where("in_train").select("bucket", F.col("name").alias("name_train"))
-    evals = keyed.where("in_eval").select("bucket", F.col("name").alias("name_eval"))
-    met = train.join(evals, "bucket").select("name_train", "name_eval").distinct()
+                yield pd.DataFrame({"bucket": keys.ravel(), **{c: np.repeat(part[c].to_numpy(), bands) for c in ("name_no", "in_train", "in_eval")}})
+
+    usable = names.select("name_no", "name", "in_train", "in_eval").where(F.length("name") >= n)
+    keyed = usable.mapInPandas(banded, "bucket long, name_no long, in_train boolean, in_eval boolean")
+    train = keyed.where("in_train").select("bucket", F.col("name_no").alias("train_no"))
+    evals = keyed.where("in_eval").select("bucket", F.col("name_no").alias("eval_no"))
+    met = train.join(evals, "bucket").select("train_no", "eval_no").distinct()
+    named = lambda s: usable.select(F.col("name_no").alias(f"{s}_no"), F.col("name").alias(f"name_{s}"))
     both = F.size(F.array_intersect("a", "b"))
     return (
-        met.withColumn("a", shingles(F.col("name_train"), n)).withColumn("b", shingles(F.col("name_eval"), n))
+        met.join(named("train"), "train_no").join(named("eval"), "eval_no")
+        .withColumn("a", shingles(F.col("name_train"), n)).withColumn("b", shingles(F.col("name_eval"), n))
         .where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both) - 1e-12)
-        .select("name_train", "name_eval")
+        .select("train_no", "eval_no")
     )
 
 
@@ -91,16 +95,18 @@ def split_overlaps(records: DataFrame, threshold: float = 0.6, n: int = 4, bands
     rows_ = rows_.where("id is not null and is_train is not null and name is not null")
     rows_ = rows_.groupBy("id").agg(*[F.min(c).alias(c) for c in ("source", "is_train", "name")])
     rows_ = materialize(rows_, "overlap-rows")
-    names = rows_.groupBy("name").agg(F.max("is_train").alias("in_train"), (~F.min("is_train")).alias("in_eval"))
+    names = rows_.groupBy("name").agg(F.min("id").alias("name_no"), F.max("is_train").alias("in_train"), (~F.min("is_train")).alias("in_eval"))
+    names = materialize(names, "overlap-name-numbers")
+    rows_ = rows_.join(names.select("name", "name_no"), "name").drop("name")
     found = materialize(overlapping_names(names, threshold, n, bands, rows), "overlap-names")
-    train = rows_.where("is_train").select(F.col("name").alias("name_train"), F.col("id").alias("id_t"), F.col("source").alias("train_source"))
-    evals = rows_.where("not is_train").select(F.col("name").alias("name_eval"), F.col("id").alias("id_e"), F.col("source").alias("eval_source"))
-    pairs = found.join(train, "name_train").join(evals, "name_eval").select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b"))
-    n_train = train.groupBy("name_train", "train_source").agg(F.count("*").alias("nt"))
-    n_evals = evals.groupBy("name_eval", "eval_source").agg(F.count("*").alias("ne"))
-    per_name = found.join(n_train, "name_train").groupBy("name_eval", "train_source").agg(F.sum("nt").alias("nt"))
+    train = rows_.where("is_train").select(F.col("name_no").alias("train_no"), F.col("id").alias("id_t"), F.col("source").alias("train_source"))
+    evals = rows_.where("not is_train").select(F.col("name_no").alias("eval_no"), F.col("id").alias("id_e"), F.col("source").alias("eval_source"))
+    pairs = found.join(train, "train_no").join(evals, "eval_no").select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b"))
+    n_train = train.groupBy("train_no", "train_source").agg(F.count("*").alias("nt"))
+    n_evals = evals.groupBy("eval_no", "eval_source").agg(F.count("*").alias("ne"))
+    per_name = found.join(n_train, "train_no").groupBy("eval_no", "train_source").agg(F.sum("nt").alias("nt"))
     report = (
-        per_name.join(n_evals, "name_eval").groupBy("eval_source", "train_source")
+        per_name.join(n_evals, "eval_no").groupBy("eval_source", "train_source")
         .agg(F.sum(F.col("nt") * F.col("ne")).alias("pairs"), F.sum("ne").alias("eval_ids"))
     )
     return pairs, report
