@@ -15,13 +15,15 @@ from pyspark.sql import Window as W
 
 from patchloom.shared import materialize, mix64
 
-SPAN, GRAM = 120, 64
+SPAN, GRAM = 120, 48
 #: An anchor of more texts than this is looked at window by window: its texts may have no more in common than the anchor.
 HOT = 256
 #: Longer texts are cut into pieces of this many characters that overlap by a span.
 PIECE = 1 << 20
 #: Anchors or windows that a task looks at together before it gives them on.
 CHUNK = 1 << 20
+#: Of the bitmap that keeps texts nobody asks for out of a shuffle: 2^20 rows of 16 bytes.
+SIEVE_BITS = 26
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -166,10 +168,20 @@ def _meetings(shared: DataFrame, *on: str) -> DataFrame:
     return a.join(b, [*on]).where("text_a < text_b and (link_a != link_b or link_a = 0)").select("text_a", "pos_a", "text_b", "pos_b")
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and some others: a bitmap of hashes, 16 bits for each wanted key but 2^SIEVE_BITS at most, is broadcast."""
+    bits = min(SIEVE_BITS, max(16, (16 * wanted.count()).bit_length()))
+    h = F.xxhash64(key).bitwiseAND((1 << bits) - 1)
+    word, bit = F.shiftright(h, 6), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    words = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # 2^(bits - 6) rows at most
+    return rows.withColumn("word", word).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(text_id, text, at): each text once with its places."""
-    wanted = places.distinct().groupBy("text_id").agg(F.collect_list("pos").alias("at"))
-    return wanted.join(texts.select(F.col("doc_id").alias("text_id"), "text"), "text_id").dropDuplicates(["text_id"]).select("text_id", "text", "at")
+    """(text_id, text, at): each text once with its places. Texts without places stay where they are."""
+    wanted = materialize(places.distinct().groupBy("text_id").agg(F.collect_list("pos").alias("at")), "span-places")
+    found = _sieved(texts.select(F.col("doc_id").alias("text_id"), "text"), wanted.select("text_id"), "text_id")
+    return wanted.join(found, "text_id").dropDuplicates(["text_id"]).select("text_id", "text", "at")
 
 
 def _contexts(texts: DataFrame, places: DataFrame, around: int, k: int) -> DataFrame:
