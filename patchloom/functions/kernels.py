@@ -267,6 +267,11 @@ def gaussian_kernel(size: int, sigma: float) -> np.ndarray:
     return np.exp(-(squares[:, None] + squares) / (2 * sigma * sigma))
 
 
+def uniform_kernel(size: int | tuple[int, int]) -> np.ndarray:
+    """Ones, not normalised; a number is the edge of a square."""
+    return np.ones((size, size) if isinstance(size, int) else size)
+
+
 def kernel_pooled(x: np.ndarray, kernel: np.ndarray, stride: tuple[int, int], method, full: bool = False) -> np.ndarray:
     """Windows weighted by the kernel, then pooled; without `full` the last window of each axis is left off.
 

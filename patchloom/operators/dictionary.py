@@ -112,7 +112,7 @@ def _labelled_sums(df: DataFrame, vector: str, atoms: np.ndarray, kind: str) ->
                 total[k * d : k * d + k] += np.bincount(at, minlength=k)
         return total
 
-    got = sum_partials(df.select(vector).where(F.col(vector).isNotNull()), partial)
+    got = sum_partials(df.select(vector).where(F.col(vector).isNotNull()), partial, k * d + k + 1)
     if got is None:
         raise ValueError("no rows")
     return got[: k * d].reshape(k, d), got[k * d : k * d + k], float(got[-1])
@@ -162,7 +162,7 @@ def ompn_step(df: DataFrame, vector: str, atoms: np.ndarray, steps: int, ids: st
                 total[-1] += ((part - act @ atoms) ** 2).sum()
         return total
 
-    got = sum_partials(df.select(vector).where(F.col(vector).isNotNull()), partial)
+    got = sum_partials(df.select(vector).where(F.col(vector).isNotNull()), partial, k * k + k * d + k + 1)
     gram, cross, counts = got[: k * k].reshape(k, k), got[k * k : k * k + k * d].reshape(k, d), got[k * k + k * d : -1]
     new = _filled(df, vector, ids, np.linalg.solve(gram + 1e-8 * np.eye(k), cross), counts, seed)
     return new / (np.sqrt((new**2).sum(1, keepdims=True)) + EPS), float(got[-1])

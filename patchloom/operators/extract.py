@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from patchloom.functions import kernels as K
 from patchloom.operators.tensors import map_images
@@ -53,6 +54,29 @@ def mosaic(patches: np.ndarray, columns: int | None = None, gap: int = 1) -> np.
     return out / (out.max() + K.EPS)
 
 
+def mosaic_cells(images: DataFrame, place: Column, total: int, gap: int = 1) -> DataFrame:
+    """(i, j, ch, v): the cells of mosaic(), however many images there are. place: 0 .. total - 1, the images' order; all of one shape.
+
+    Cells of the gap have the mean of all images. -> no row for an empty table.
+    """
+    columns = int(np.ceil(np.sqrt(max(total, 1))))
+    i, per = F.col("_at"), F.col("w") * F.col("c")
+    cells = images.where(F.col("data").isNotNull()).select(place.alias("_p"), "h", "w", "c", F.posexplode("data").alias("_at", "v"))
+    cells = cells.select(
+        (F.floor(F.col("_p") / columns) * (F.col("h") + gap) + F.floor(i / per)).cast("long").alias("i"),
+        (F.col("_p") % columns * (F.col("w") + gap) + F.floor(i / F.col("c")) % F.col("w")).cast("long").alias("j"), (i % F.col("c")).cast("long").alias("ch"), "v",
+    )
+    told = cells.agg(F.avg("v").alias("_mean"), F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.max("i").alias("_i"), F.max("ch").alias("_ch"))
+    shape = images.agg(F.max("w").alias("_w"))
+    whole = told.join(shape).where("_hi is not null")  # one row
+    width = F.least(F.lit(columns), F.lit(total)) * (F.col("_w") + gap) - gap
+    grid = whole.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_i"))).alias("i"), width.alias("_width"), "_mean", "_lo", "_hi", "_ch")
+    down = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c.cast("long")))
+    grid = grid.select("i", down(F.col("_width") - 1).alias("j"), "_mean", "_lo", "_hi", "_ch").select("i", "j", down(F.col("_ch")).alias("ch"), "_mean", "_lo", "_hi")
+    v = F.coalesce("v", "_mean")
+    return grid.join(cells, ["i", "j", "ch"], "left").select("i", "j", "ch", ((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + K.EPS)).alias("v"))
+
+
 def patch_shape(size: int) -> tuple[int, ...]:
     """The square, or three-channel square, of a flat patch of so many values."""
     for channels, tail in ((1, ()), (3, (3,))):

@@ -17,6 +17,10 @@ from patchloom.functions.kernels import EPS
 from patchloom.operators.linalg import checked_model, wolfe_step
 from patchloom.operators.sampling import minibatches
 from patchloom.operators.tensors import matrix, sum_partials
+from patchloom.shared import scratch_path
+
+#: Folders of an epoch's minibatches.
+FOLDERS = 1000
 
 # --- losses: (Y, prediction, row weights or None) -> (sum, gradient by prediction) ---------------------------------------
 
@@ -132,7 +136,7 @@ def loss_sums(df: DataFrame, x: str, y: str, model: Linear, loss: str, weight: s
         return total
 
     columns = [x, y] + ([weight] if weight else [])
-    got = sum_partials(df.select(*columns).where(F.col(x).isNotNull() & F.col(y).isNotNull()), partial)
+    got = sum_partials(df.select(*columns).where(F.col(x).isNotNull() & F.col(y).isNotNull()), partial, d * k + k + 2)
     if got is None:
         raise ValueError("no rows")
     return float(got[-2]), got[: d * k].reshape(d, k), got[d * k : -2], float(got[-1])
@@ -218,9 +222,11 @@ def fit(df: DataFrame, x: str, y: str, loss: str, reg: str = "l2", gamma: float
 def fit_stochastic(df: DataFrame, x: str, y: str, ids: str, loss: str, reg: str = "l2", gamma: float = 0.01, mode: str = "lbfgs", minibatch: int = 1000, num_iter: int = 10, base_lr: float | None = None, eta: float = 0.0, weight: str | None = None, alpha: float = 0.5, most: int = 20, fine_tune: int = 0, callbacks=(), init=None, seed: int = 42, k: int | None = None) -> Linear:
     """Minibatches without replacement, a new shuffle each epoch; each is used for `most` evaluations of L-BFGS or one adaptive-gradient step.
 
-    base_lr None: a Wolfe search on the first batch. fine_tune: that many evaluations of L-BFGS over all rows at the end.
+    An epoch's shuffle is written to the shared folder in up to FOLDERS folders of consecutive batches, sorted by batch, so that a batch's
+    evaluations read its folder and its row groups only. base_lr None: a Wolfe search on the first batch. fine_tune: that many evaluations of L-BFGS over all rows at the end.
     """
     df = df.persist()
+    batch = None
     try:
         d, k = _width(df, x), k or classes(df, y)
         n = df.count()
@@ -228,13 +234,16 @@ def fit_stochastic(df: DataFrame, x: str, y: str, ids: str, loss: str, reg: str
         size = min(minibatch, n)
         param = np.zeros(d * k + k) if init is None else np.array(Linear.flattened(init), np.float64)
         grown = np.full(len(param), eta * eta + EPS)
-        shuffled = None
+        each = -(-per_epoch // FOLDERS)
         for it in range(num_iter):
             if it % per_epoch == 0:
-                if shuffled is not None:
-                    shuffled.unpersist()
-                shuffled = minibatches(df, size, it // per_epoch, ids, seed=seed).persist()
-            batch = shuffled.where(F.col("batch") == it % per_epoch)
+                path = scratch_path(df.sparkSession, "minibatches")
+                rows = minibatches(df, size, it // per_epoch, ids, seed=seed).withColumn("folder", F.floor(F.col("batch") / each))
+                rows.repartition("folder").sortWithinPartitions("folder", "batch").write.partitionBy("folder").parquet(path)
+                shuffled = df.sparkSession.read.parquet(path)
+            if batch is not None:
+                batch.unpersist()
+            batch = shuffled.where((F.col("folder") == it % per_epoch // each) & (F.col("batch") == it % per_epoch)).persist()
             value = lambda p, b=batch: objective(b, x, y, Linear.of(p, d, k), loss, reg, gamma, weight, alpha)
             if mode == "lbfgs":
                 param = lbfgs(value, param, most)[0]
@@ -248,11 +257,11 @@ def fit_stochastic(df: DataFrame, x: str, y: str, ids: str, loss: str, reg: str
                 raise ValueError(f"unknown mode {mode}")
             for call in callbacks if isinstance(callbacks, (list, tuple)) else (callbacks,):
                 call(Linear.of(param, d, k))
-        if shuffled is not None:
-            shuffled.unpersist()
         model = Linear.of(param, d, k)
         return fit(df, x, y, loss, reg, gamma, weight, fine_tune, alpha, model, k)[0] if fine_tune else model
     finally:
+        if batch is not None:
+            batch.unpersist()
         df.unpersist()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Values of a stack that a kernel gets at once; bounds memory whatever the images' size.
 STACK_VALUES = 1 << 22
+#: Arrays that are summed over tasks: tasks that are added at first, values of a slice (64 KB).
+FAN_IN, SLICE_VALUES = 256, 1 << 13
 
 
 def list_column(rows: list[np.ndarray]) -> pa.Array:
@@ -70,20 +72,31 @@ def map_vectors(df: DataFrame, vector: str, kernel: Callable[[np.ndarray], np.nd
     return rows.mapInArrow(run, f"{_ddl(df, keep) + ', ' if keep else ''}`{out}` array<double>")
 
 
-def sum_partials(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], fan_in: int = 64) -> np.ndarray | None:
-    """The sum over all tasks of an array each task makes of its rows; summed in two steps, so the driver gets at most fan_in arrays."""
+def sum_partials(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], values: int | None = None, fan_in: int = FAN_IN, slice_values: int = SLICE_VALUES) -> np.ndarray | None:
+    """The sum over all tasks of an array each task makes of its rows.
+
+    Arrays travel in slices, and a slice is summed fan_in tasks at a time, then over these sums: no task holds more than fan_in
+    slices, or the tasks' number / fan_in of them, and the driver gets one array, whatever the number of tasks. values: the array's
+    size, if known; one of a slice at most is small enough for the driver to add the last sums itself, which saves a shuffle.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         got = partial(batches)
         if got is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), pa.array([np.asarray(got, np.float64).tobytes()], pa.binary())], names=["part", "sums"])
+            got, team = np.asarray(got, np.float64).ravel(), TaskContext.get().partitionId() // fan_in
+            for no, at in enumerate(range(0, max(len(got), 1), slice_values)):
+                yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([team], pa.int32()), pa.array([got[at : at + slice_values].tobytes()], pa.binary())], names=["slice", "team", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "part int, sums binary"
-    rows = df.mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).collect()
-    return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
+        return pa.table({"slice": table.column("slice")[:1], "team": table.column("team")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "slice int, team int, sums binary"
+    teams = df.mapInArrow(run, kind).groupBy("slice", "team").applyInArrow(add, kind)
+    if values is not None and values <= slice_values:
+        rows = teams.collect()
+        return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
+    rows = teams.groupBy("slice").applyInArrow(add, kind).collect()
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else None

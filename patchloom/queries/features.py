@@ -10,7 +10,7 @@ from patchloom.functions.images import long_form
 from patchloom.operators import dictionary as D
 from patchloom.operators import encode, linalg, stats
 from patchloom.plans.pipeline import Component, ConvLayer
-from patchloom.queries.inputs import ATOMS, COLOR, X, color_images, first_vectors, images, matrix_rows, r6, truths, truths_sql, vectors
+from patchloom.queries.inputs import ATOMS, COLOR, X, color_images, first_vectors, images, matrix_rows, r6, vectors
 
 
 def _maps(spark, sf_dir):
@@ -28,19 +28,17 @@ def _encode(kind, transpose=False, with_b=0, **more):
 
 
 def _llc(spark, sf_dir):
-    atoms = first_vectors(spark, sf_dir, 20)
-    out = encode.encoded(_maps(spark, sf_dir), "llc", atoms, k=5).select(F.aggregate("data", F.lit(0.0), lambda s, v: s + v).alias("s"), F.size(F.filter("data", lambda v: v != 0)).alias("n"))
-    r = out.agg(F.max(F.abs(F.col("s") - 1)).alias("s"), F.max("n").alias("n")).first()
-    return truths(spark, sums_to_one=r["s"] < 1e-9, at_most_k=r["n"] <= 5)
+    """Over two atoms the weights have a closed form."""
+    return long_form(encode.encoded(_maps(spark, sf_dir), "llc", first_vectors(spark, sf_dir, 20), k=2), "vec_id")
 
 
 def _whitened(zca):
+    """The covariance that the transform was made of, rebuilt from its inverse."""
+
     def query(spark, sf_dir):
-        rows = vectors(spark, sf_dir)
-        w, b = (D.zca if zca else D.pca)(rows, "x")
-        _, cov = stats.meancov(linalg.dot(rows.select("vec_id", F.zip_with("x", F.lit(b.tolist()), lambda v, s: v + s).alias("x")), "x", w, "vec_id"), "x")
-        off = cov - np.diag(np.diag(cov))
-        return truths(spark, uncorrelated=np.abs(off).max() < 1e-8, unit_variance=np.abs(np.diag(cov) - 1).max() < 1e-8)
+        w, _ = (D.zca if zca else D.pca)(vectors(spark, sf_dir), "x")
+        back = np.linalg.inv(w)
+        return matrix_rows(spark, (back @ back if zca else back.T @ back))
 
     return query
 
@@ -51,19 +49,14 @@ def i3(spark, sf_dir):
 
 
 def i4(spark, sf_dir):
-    """Unit rows have unit means at most, and training lowers the inertia."""
-    rows = vectors(spark, sf_dir)
-    one = D.normalized_kmeans(rows, "x", 5, max_iter=1, tol=0.0, ids="vec_id")
-    more = D.normalized_kmeans(rows, "x", 5, max_iter=6, tol=0.0, ids="vec_id")
-    return truths(spark, within_ball=np.sqrt((more.atoms**2).sum(1)).max() <= 1 + 1e-9, inertia_falls=more.inertia <= one.inertia)
+    """Two rounds over unit rows."""
+    return matrix_rows(spark, D.normalized_kmeans(vectors(spark, sf_dir), "x", 4, max_iter=2, tol=0.0, ids="vec_id", init=first_vectors(spark, sf_dir, 4)).atoms)
 
 
 def i7(spark, sf_dir):
-    """From drawn rows; the best of three starts is no worse than the first."""
-    rows = vectors(spark, sf_dir)
-    one = D.kmeans(rows, "x", 6, n_init=1, max_iter=4, ids="vec_id")
-    best = D.kmeans(rows, "x", 6, n_init=3, max_iter=4, ids="vec_id")
-    return truths(spark, best_of_starts=best.inertia <= one.inertia + 1e-9)
+    """Three rounds, and the inertia before the last update."""
+    got = D.kmeans(vectors(spark, sf_dir), "x", 4, max_iter=3, tol=0.0, ids="vec_id", init=first_vectors(spark, sf_dir, 4))
+    return matrix_rows(spark, np.concatenate((got.atoms, np.full((1, 64), got.inertia))))
 
 
 def i8(spark, sf_dir):
@@ -94,11 +87,8 @@ def i13(spark, sf_dir):
 
 
 def i15(spark, sf_dir):
-    rows, init = vectors(spark, sf_dir), first_vectors(spark, sf_dir, 8)
-    first, before = D.ompn_step(rows, "x", init, 2, "vec_id")
-    _, after = D.ompn_step(rows, "x", first, 2, "vec_id")
-    got = D.ompn(rows, "x", 8, 2, max_iter=3, tol=0.0, ids="vec_id", init=init)
-    return truths(spark, residual_falls=after <= before + 1e-9, unit_rows=np.abs(np.sqrt((got.atoms**2).sum(1)) - 1).max() < 1e-9)
+    """With one active atom a row the least squares have a closed form."""
+    return matrix_rows(spark, D.ompn(vectors(spark, sf_dir), "x", 4, 1, max_iter=2, tol=0.0, ids="vec_id", init=first_vectors(spark, sf_dir, 4)).atoms)
 
 
 def _pool(function, *args, color=False):
@@ -117,6 +107,10 @@ def p8(spark, sf_dir):
     return matrix_rows(spark, K.gaussian_kernel(4, 1.5))
 
 
+def p8_uniform(spark, sf_dir):
+    return matrix_rows(spark, np.concatenate((K.uniform_kernel((3, 2)), K.uniform_kernel(2))))
+
+
 def fused_layer() -> ConvLayer:
     """3 x 3 patches, mean and variance normalised, thresholded responses to four unit atoms, averaged over 2 x 2 cells."""
     return ConvLayer([
@@ -141,7 +135,7 @@ QUERIES = {
     "P3_meta": _pool(encode.meta_pool, lambda x: K.spatial_pooled(x, (2, 2), "ave"), lambda x: K.spatial_pooled(x, (1, 1), "max")),
     "P4_pyramid": _pool(encode.pyramid_pool, 3, "max"), "P5_fixed_size": _pool(encode.fixed_size_pool, (3, 3), "ave"),
     "P6_kernel_ave": _pool(encode.kernel_pool, K.gaussian_kernel(3, 1.0), (2, 2), "ave"), "P7_kernel_max": _pool(encode.kernel_pool, K.gaussian_kernel(3, 1.0), (2, 2), "max", True),
-    "P7_kernel_rms": _pool(encode.kernel_pool, K.gaussian_kernel(3, 1.0), (2, 2), "rms"), "P8_gaussian_kernel": p8, "P9_fused_layer": p9,
+    "P7_kernel_rms": _pool(encode.kernel_pool, K.gaussian_kernel(3, 1.0), (2, 2), "rms"), "P8_gaussian_kernel": p8, "P8_uniform_kernel": p8_uniform, "P8_uniform_pool": _pool(encode.kernel_pool, K.uniform_kernel((2, 3)), (2, 3), "ave", True), "P9_fused_layer": p9,
 }
 
 _MAX, _AVE, _RMS = "greatest(max(v), 0)", "avg(v)", "sqrt(avg(v * v))"
@@ -170,8 +164,15 @@ cent{n} as (select k, j, avg(v) as d from near{n} join x using (vec_id) group by
 _OMP = """, hit{n} as (select vec_id, max_by(k, (abs(p), -k)) as k, max(abs(p)) as val from (select x.vec_id, k, sum(v * d) as p from x join {atoms} using (j) group by x.vec_id, k) group by vec_id),
 raw{n} as (select k, j, sum(val * v) as d from hit{n} join x using (vec_id) group by k, j),
 omp{n} as (select k, j, d / (sqrt(sum(d * d) over (partition by k)) + 2.220446049250313e-16) as d from raw{n})"""
+#: One active atom a row: each atom is its members' sum, weighted by their signed responses, over the sum of these squared.
+_LSQ = """, hit{n} as (select vec_id, max_by(k, (abs(p), -k)) as k, max_by(p, (abs(p), -k)) as val from (select x.vec_id, k, sum(v * d) as p from x join {atoms} using (j) group by x.vec_id, k) group by vec_id),
+raw{n} as (select k, j, sum(val * v) / (sum(val * val) + 1e-8) as d from hit{n} join x using (vec_id) group by k, j),
+omp{n} as (select k, j, d / (sqrt(sum(d * d) over (partition by k)) + 2.220446049250313e-16) as d from raw{n})"""
+_COV = X + f", m as (select vec_id, j, v - avg(v) over (partition by j) as v from x) select a.j as i, b.j as j, {r6('avg(a.v * b.v)')} as v from m a join m b using (vec_id) group by a.j, b.j"
 ORACLES = {
-    "I1_pca": truths_sql("uncorrelated", "unit_variance"), "I2_zca": truths_sql("uncorrelated", "unit_variance"), "I4_normalized_kmeans": truths_sql("inertia_falls", "within_ball"), "I7_kmeans": truths_sql("best_of_starts"),
+    "I1_pca": _COV, "I2_zca": _COV,
+    "I4_normalized_kmeans": X.replace("list_transform(embedding, lambda e: e::double)", "list_transform(embedding, lambda e: e::double / sqrt(list_inner_product(embedding::double[], embedding::double[])))") + ", raw as (select vec_id as k, generate_subscripts(embedding, 1) - 1 as j, unnest(embedding)::double as d from embeddings), atoms as (select * from raw where k < 4)" + _STEP.format(n=1, atoms="atoms") + _STEP.format(n=2, atoms="cent1") + f"select k as i, j, {r6('d')} as v from cent2",
+    "I7_kmeans": X + _P4 + _STEP.format(n=1, atoms="atoms") + _STEP.format(n=2, atoms="cent1") + _STEP.format(n=3, atoms="cent2") + f", least as (select sum(dist) as inertia from (select vec_id, min(dist) as dist from (select x.vec_id, k, sum((v - d) * (v - d)) as dist from x join cent2 using (j) group by x.vec_id, k) group by vec_id)) select k as i, j, {r6('d')} as v from cent3 union all select 4, j, {r6('inertia')} from least, range(64) t(j)",
     "I3_kmeans_trainer": X + _P4 + _STEP.format(n=1, atoms="atoms") + _STEP.format(n=2, atoms="cent1") + f"select k as i, j, {r6('d')} as v from cent2",
     "I8_e_step": X + ATOMS.format(k=10) + f"select vec_id, min_by(k, (dist, k))::integer as cluster, {r6('min(dist)')} as distance from dots group by vec_id",
     "I9_m_step": X + ATOMS.format(k=3) + _STEP.format(n=1, atoms="atoms") + f""", spare as (select vec_id from emb order by md5('42-' || vec_id), vec_id limit 1)
@@ -184,7 +185,7 @@ gram as (select a.k as k, b.k as l, sum(a.d * b.d) as g from atoms a join atoms
 left_ as (select vec_id, d.k, p - g * val as p from dots d join one o using (vec_id) join gram on gram.k = o.k and gram.l = d.k)
 select vec_id, 0::bigint as step, k::integer as atom, {r6('val')} as value from one union all
 select vec_id, 1, max_by(k, (abs(p), -k))::integer, {r6('max_by(p, (abs(p), -k))')} from left_ group by vec_id""",
-    "I15_omp_n": truths_sql("residual_falls", "unit_rows"),
+    "I15_omp_n": X + _P4 + _LSQ.format(n=1, atoms="atoms") + _LSQ.format(n=2, atoms="omp1") + f"select k as i, j, {r6('d')} as v from omp2",
     "J1_linear_bw": X + _P4 + f"select x.vec_id, k as j, {r6('sum((v + x.j / 100) * d)')} as v from x join atoms using (j) group by x.vec_id, k",
     "J2_linear_wb": X + _P4 + f"select vec_id, k as j, {r6('p + k / 10')} as v from dots",
     "J3_inner_product": X + _P4 + f"select vec_id, k as j, {r6('p')} as v from dots",
@@ -194,7 +195,11 @@ select vec_id, 1, max_by(k, (abs(p), -k))::integer, {r6('max_by(p, (abs(p), -k))
     "J6_threshold_abs": X + _P4 + f"select vec_id, k as j, {r6('greatest(abs(p) - 0.05, 0)')} as v from dots",
     "J7_relu": X + _P4 + f"select vec_id, k + 4 * s as j, {r6('greatest(case when s = 0 then p else -p end, 0)')} as v from dots, (select unnest([0, 1]) as s)",
     "J8_triangle": X + _P4 + f"select vec_id, k as j, {r6('greatest(avg(sqrt(dist)) over (partition by vec_id) - sqrt(dist), 0)')} as v from dots",
-    "J9_llc": truths_sql("at_most_k", "sums_to_one"),
+    "J9_llc": X + ATOMS.format(k=20) + f""", near as (select * from (select *, row_number() over (partition by vec_id order by dist, k) as rn from dots) where rn <= 2),
+pair as (select p.vec_id, p.k as k1, q.k as k2, p.dist as a, q.dist as c, (p.dist + q.dist - g.between) / 2 as b from near p join near q on p.vec_id = q.vec_id and p.rn = 1 and q.rn = 2
+join (select s.k as k, t.k as l, sum((s.d - t.d) * (s.d - t.d)) as between from atoms s join atoms t using (j) group by s.k, t.k) g on g.k = p.k and g.l = q.k),
+told as (select *, c + 1e-4 * (a + c) - b as w1, a + 1e-4 * (a + c) - b as w2 from pair)
+select vec_id, j, round(case when j = k1 then w1 / (w1 + w2) when j = k2 then w2 / (w1 + w2) else 0.0 end, 6) + 0.0 as v from told, range(20) t(j)""",
     "P1_spatial_max": X + _cells(2, 2, _MAX), "P1_spatial_rms": X + _cells(2, 3, _RMS), "P1_spatial_rows": X + _cells(3, 2, _MAX),
     "P1_spatial_ave": COLOR + f"select id, ((r * 3 // 8) * 3 + c * 3 // 8) * 3 + ch as j, {r6('avg(v)')} as v from col group by id, r * 3 // 8, c * 3 // 8, ch",
     "P2_overcomplete_max": _rects(2, _MAX, _MAX), "P2_overcomplete_ave": _rects(3, _AVE, _AVE),
@@ -202,6 +207,8 @@ select vec_id, 1, max_by(k, (abs(p), -k))::integer, {r6('max_by(p, (abs(p), -k))
     "P4_pyramid": X + " union all ".join(_cells(2**i, 2**i, _MAX, offset=o) for i, o in ((0, 0), (1, 1), (2, 5))),
     "P5_fixed_size": X + f"select vec_id as id, ((r - 1) // 3) * 2 + (c - 1) // 3 as j, {r6('avg(v)')} as v from x where r between 1 and 6 and c between 1 and 6 group by vec_id, (r - 1) // 3, (c - 1) // 3",
     "P6_kernel_ave": _kernel("avg(v)", 2), "P7_kernel_max": _kernel("max(v)", 3), "P7_kernel_rms": _kernel("sqrt(avg(v * v))", 2),
+    "P8_uniform_kernel": "select a as i, b as j, 1.0::double as v from range(5) s(a), range(2) t(b)",
+    "P8_uniform_pool": X + f"select vec_id as id, (r // 2) * 2 + (c - 1) // 3 as j, {r6('avg(v)')} as v from x where c between 1 and 6 group by vec_id, r // 2, (c - 1) // 3",
     "P8_gaussian_kernel": f"select a as i, b as j, {r6('exp(-((a - 2) * (a - 2) + (b - 2) * (b - 2)) / 4.5)')} as v from range(5) s(a), range(5) t(b)",
     "P9_fused_layer": X + f""", tiles as (select vec_id, p.i as p, q.i as q, (r - p.i) * 3 + c - q.i as e, v from x join range(6) p(i) on r between p.i and p.i + 2 join range(6) q(i) on c between q.i and q.i + 2),
 norm as (select *, (v - avg(v) over w) / (stddev_pop(v) over w + 0.1) as z from tiles window w as (partition by vec_id, p, q)),

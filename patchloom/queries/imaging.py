@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from patchloom.functions.images import long_form
@@ -10,6 +9,7 @@ from patchloom.operators import extract, sampling, views
 from patchloom.plans.pipeline import Component, ConvLayer
 from patchloom.queries.inputs import X, images, r6, vectors
 from patchloom.shared import table
+from patchloom.sources.folders import sample_image
 
 
 def c1(spark, sf_dir):
@@ -32,9 +32,9 @@ def c5(spark, sf_dir):
     return long_form(views.center_region_set(images(spark, sf_dir), (4, 4)), "id")
 
 
-def _jitter(method):
+def _jitter(method, *amounts):
     def query(spark, sf_dir):
-        return long_form(views.jitter_set(images(spark, sf_dir), 2, (1.0, 1.0, 10.0, 0.2), method), "id", "copy")
+        return long_form(views.jitter_set(images(spark, sf_dir), 2, amounts, method), "id", "copy")
 
     return query
 
@@ -114,15 +114,24 @@ def r4(spark, sf_dir):
 
 
 def r9(spark, sf_dir):
-    rows = vectors(spark, sf_dir).where("vec_id < 10").orderBy("vec_id").collect()
-    image = extract.mosaic(np.array([r["x"] for r in rows]).reshape(10, 8, 8))
-    cells = [(i, j, round(float(image[i, j]), 6)) for i in range(image.shape[0]) for j in range(image.shape[1])]
-    return spark.createDataFrame(cells, "i long, j long, v double")
+    """All vectors as patches side by side, in the order of their ids."""
+    n = vectors(spark, sf_dir).count()
+    out = extract.mosaic_cells(images(spark, sf_dir), F.col("id"), n)
+    return out.select("i", "j", F.round("v", 6).alias("v"))
+
+
+def a13(spark, sf_dir):
+    return long_form(sample_image(spark, 32), "id")
+
+
+def c10_cropped(spark, sf_dir):
+    """Half the size, and the centre square, which is all of it."""
+    return long_form(views.manipulated(images(spark, sf_dir), target_size=(4, 4), center_crop=4), "id")
 
 
 QUERIES = {
-    "C1_mirror_set": c1, "C2_resize_set": c2, "C3_sub_image_set": c3, "C4_sub_images_of_one": c4, "C5_center_region": c5, "C6_jitter_set": _jitter("normal"), "C9_rand_jitter": _jitter("uniform"),
-    "C10_planned_shape": c10, "C10_manipulated": c10_pixels, "D3_patches": d3, "D4_im2col_rows": d4, "D6_oriented_gradients": d6, "D7_dense_sift": d7,
+    "C1_mirror_set": c1, "C2_resize_set": c2, "C3_sub_image_set": c3, "C4_sub_images_of_one": c4, "C5_center_region": c5, "C6_jitter_set": _jitter("normal", 0.0, 0.0, 0.0, 0.0), "C8_randn_jitter": _jitter("normal", 1.0, 1.0, 10.0, 0.2), "C9_rand_jitter": _jitter("uniform", 0.0, 0.0, 0.0, 0.0), "C9_rand_jitter_drawn": _jitter("uniform", 1.0, 1.0, 10.0, 0.2),
+    "C10_planned_shape": c10, "C10_manipulated": c10_cropped, "C10_manipulated_sizes": c10_pixels, "A13_sample_image": a13, "D3_patches": d3, "D4_im2col_rows": d4, "D6_oriented_gradients": d6, "D7_dense_sift": d7,
     "F1_reservoir": f1, "F2_location_sample": f2, "F3_patch_draws": f3, "F4_layer_sample": f4, "F6_post_processed": f6, "F7_minibatches": f7, "F8_file_minibatches": f8,
     "R4_segments": r4, "R9_mosaic": r9,
 }
@@ -149,10 +158,13 @@ select draw, vec_id as id, x.label, ((r - a) * 3 + c - b)::bigint as j, {r6('v')
     "F7_minibatches": "select vec_id, (row_number() over (order by md5('42-1-' || vec_id), vec_id) - 1) // 64 as batch from embeddings qualify batch < (select count(*) // 64 from embeddings)",
     "F8_file_minibatches": "select event_id, (row_number() over (order by md5('42-0-' || event_id), event_id) - 1) // 1000 as batch from events qualify batch < (select count(*) // 1000 from events)",
     "R4_segments": "with n as (select count(*) as n from embeddings) select vec_id, i::integer as part from embeddings, n, range(7) t(i) where vec_id >= n * i // 7 and vec_id < n * (i + 1) // 7",
-    "R9_mosaic": X + """, few as (select * from x where vec_id < 10), cells as (select (vec_id // 4) * 9 + r as i, (vec_id % 4) * 9 + c as j, v from few),
-grid as (select a.i, b.j from range(26) a(i), range(35) b(j)), filled as (select i, j, coalesce(v, (select avg(v) from few)) as v from grid left join cells using (i, j)),
+    "R9_mosaic": X + """, n as (select count(*) as n, ceil(sqrt(count(*)))::bigint as cols from emb), cells as (select (vec_id // cols) * 9 + r as i, (vec_id % cols) * 9 + c as j, v from x, n),
+grid as (select a.i, b.j from (select unnest(range((select max(i) + 1 from cells))) as i) a, (select unnest(range((select max(j) + 1 from cells))) as j) b), filled as (select i, j, coalesce(v, (select avg(v) from x)) as v from grid left join cells using (i, j)),
 ends as (select min(v) as lo, max(v) as hi from filled) select i, j, round((v - lo) / (hi - lo + 2.220446049250313e-16), 6) as v from filled, ends""",
+    "A13_sample_image": f"select 0::bigint as id, r * 32 + c as j, {r6('(r + c) * 255 / 124.0::double + case when (r // 8 + c // 8) % 2 = 0 then 127.5 else 0 end')} as v from range(32) a(r), range(32) b(c)",
 }
+ORACLES["C10_manipulated"] = ORACLES["C2_resize_set"]
+ORACLES["C6_jitter_set"] = ORACLES["C9_rand_jitter"] = X + f"select vec_id as id, t.copy::integer as copy, j, {r6('v')} as v from x, range(3) t(copy)"
 ORACLES["C4_sub_images_of_one"] = ORACLES["C3_sub_image_set"] + " and vec_id = 7"
 #: o: the oriented gradient of each place and angle; filters as in D5, true convolution, edges repeated.
 _GRADIENTS = X + """, g as (select i, j, exp(-((i - 2) * (i - 2) + (j - 2) * (j - 2)) / 2.0) as v from range(5) s(i), range(5) t(j)), n as (select i, j, v / sum(v) over () as v from g),

@@ -56,15 +56,24 @@ def o12(spark, sf_dir):
 
 
 def o12_lbfgs(spark, sf_dir):
+    """One batch of all rows, one step of L-BFGS: as O14's first step."""
     rows = vectors(spark, sf_dir)
     seen = []
-    model = L.fit_stochastic(rows, "x", "label", "vec_id", "squared_hinge", "l2", 0.01, "lbfgs", 200, 3, most=8, callbacks=[seen.append], fine_tune=15)
-    start = L.objective(rows, "x", "label", L.Linear(np.zeros((64, 10)), np.zeros(10)), "squared_hinge", "l2", 0.01)[0]
-    end = L.objective(rows, "x", "label", model, "squared_hinge", "l2", 0.01)[0]
-    return truths(spark, called_each_batch=len(seen) == 3, objective_falls=end < start)
+    model = L.fit_stochastic(rows, "x", "label", "vec_id", "squared_hinge", "l2", 0.01, "lbfgs", rows.count(), 1, most=2, callbacks=[seen.append])
+    return array_rows(spark, w=seen[-1].flat(), again=model.flat())
 
 
-def _svm(fit, loss, reg, smooth):
+def _svm(fit):
+    """The first step, against the gradient at 0 and of length 1 in the sum of its amounts, and the objective there."""
+
+    def query(spark, sf_dir):
+        model, value = fit(vectors(spark, sf_dir), "x", "label", 0.01, most=2)
+        return array_rows(spark, w=np.concatenate((model.flat(), [value])))
+
+    return query
+
+
+def _svm_trained(fit, loss, reg, smooth):
     def query(spark, sf_dir):
         rows = vectors(spark, sf_dir)
         model, value = fit(rows, "x", "label", 0.01, most=60)
@@ -77,8 +86,8 @@ def _svm(fit, loss, reg, smooth):
 
 def o13_binary(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("x", F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
-    model, value = L.svm_binary(rows, "x", "y", 0.001, most=40)
-    return truths(spark, objective_falls=value < 1.0, one_column=model.w.shape[1] == 1)
+    model, value = L.svm_binary(rows, "x", "y", 0.001, most=2)
+    return array_rows(spark, w=np.concatenate((model.flat(), [value])))
 
 
 def _scored(spark, sf_dir):
@@ -124,7 +133,7 @@ QUERIES = {
     "O2_loss_l2": _loss("l2"), "O2_loss_l2_weighted": _loss("l2", "weight"), "O3_loss_hinge": _loss("hinge"), "O4_loss_squared_hinge": _loss("squared_hinge"), "O4_loss_squared_hinge_weighted": _loss("squared_hinge", "weight"),
     "O5_loss_bnll": _loss("bnll"), "O6_loss_multiclass_logistic": _loss("logistic"), "O7_reg_l2": _reg("l2"), "O8_reg_l1": _reg("l1"), "O9_reg_elastic": _reg("elastic"),
     "O11_objective": o11, "O12_adagrad": o12, "O12_stochastic_lbfgs": o12_lbfgs,
-    "O13_svm_onevsall": _svm(L.svm_onevsall, "hinge", "l2", False), "O13_svm_binary": o13_binary, "O14_l2svm_onevsall": _svm(L.l2svm_onevsall, "squared_hinge", "l2", True), "O15_elasticnet_svm": _svm(L.elasticnet_svm_onevsall, "squared_hinge", "elastic", False),
+    "O13_svm_onevsall": _svm(L.svm_onevsall), "O13_svm_binary": o13_binary, "O14_l2svm_onevsall": _svm(L.l2svm_onevsall), "O14_l2svm_trained": _svm_trained(L.l2svm_onevsall, "squared_hinge", "l2", True), "O15_elasticnet_svm": _svm(L.elasticnet_svm_onevsall),
     "O16_mse": _measure(lambda d: E.mse(d, "label", "predicted")), "O17_accuracy": _measure(lambda d: E.accuracy(d, "label", "scores")), "O18_confusion_table": _measure(lambda d: E.confusion_table(d, "label", "predicted", 10)),
     "O19_accuracy_class_averaged": _measure(lambda d: E.accuracy_class_averaged(d, "label", "predicted")), "O20_top_k_accuracy": _measure(lambda d: E.top_k_accuracy(d, "label", "scores", 3)),
     "O21_average_precision": _measure(lambda d: E.average_precision(d.select((F.col("label") == 3).alias("is"), F.round(F.col("scores")[3], 2).alias("s")), "is", "s")),
@@ -157,6 +166,17 @@ s{n} as (select j, k, w - 0.1 * (g + case when j < 64 then 0.02 * w else 0 end)
 from {source} join g{n} using (j, k))"""
 
 
+def _first_step(slope: str, loss: str, reg_slope: str, reg: str, k: int = 10, y: str = "case when k = label then 1.0 else -1.0 end", gamma: float = 0.01) -> str:
+    """The weights after one step from 0 against the gradient, whose amounts sum to 1 or less, and the objective there; m: the margin's shortfall."""
+    n = 64 * k
+    return X + f""", n as (select count(*)::double as n from emb), xb as (select vec_id, label, j, v from x union all select vec_id, label, 64, 1.0 from emb),
+g as (select j, k, sum(-{slope} * v * {y}) / (select n from n) + case when j < 64 then {gamma} * {reg_slope} else 0 end as g from xb, range({k}) t(k) group by j, k),
+w as (select j, k, -g * least(1.0, 1 / (select sum(abs(g)) from g)) as w from g),
+s as (select vec_id, label, k, greatest(0, 1 - {y} * sum(v * w)) as m from xb join w using (j) group by vec_id, label, k),
+told as (select case when j < 64 then j * {k} + k else {n} + k end as j, round(w, 6) + 0.0 as w from w
+union all select {n + k}, round((select sum({loss}) from s) / (select n from n) + {gamma} * (select sum({reg}) from w where j < 64), 6)) select j, w from told where true"""
+
+
 _RANK = ", top as (select vec_id, label, max_by(k, (s, -k)) as p from scores group by vec_id, label)\n"
 _AP = """, points as (select {by} s, sum(pos) as tp, count(*) as n from ranked group by {by} s), run as (select {by} s, tp, sum(tp) over w as ctp, sum(n) over w as cn, n from points window w as ({part} order by s desc)),
 area as (select {by} tp * (ctp / cn + case when cn > n then (ctp - tp) / (cn - n) else 1.0 end) / 2 as a, tp from run)
@@ -172,8 +192,9 @@ ORACLES = {
 select 0::bigint as j, round(sum(m * m) / (select n from n) + 0.01 * (select sum(w * w) from w), 6) as gradient from m union all
 select 1 + gw.j * 10 + gw.k, {r6('g + 0.02 * w')} from gw join w on gw.j = w.j and gw.k = w.k union all select 641 + k, {r6('sum(-2 * y * m) / (select n from n)')} from m group by k""",
     "O12_adagrad": X + _ADA + "s0 as (select j, k, 0.0::double as w, 1.0::double + 2.220446049250313e-16 as g2 from cells),\n" + _ada_step(1, "s0") + ",\n" + _ada_step(2, "s1") + f"\nselect case when j < 64 then j * 10 + k else 640 + k end as j, {r6('w')} as w from s2",
-    "O12_stochastic_lbfgs": truths_sql("called_each_batch", "objective_falls"),
-    "O13_svm_onevsall": truths_sql("objective_falls", "stationary"), "O13_svm_binary": truths_sql("objective_falls", "one_column"), "O14_l2svm_onevsall": truths_sql("objective_falls", "stationary"), "O15_elasticnet_svm": truths_sql("objective_falls", "stationary"),
+    "O12_stochastic_lbfgs": _first_step("2", "m * m", "0", "w * w").replace("select j, w from told where true", "select j, w, w as again from told where j < 650"),
+    "O13_svm_onevsall": _first_step("1", "m", "0", "w * w"), "O13_svm_binary": _first_step("1", "m", "0", "w * w", 1, "case when label < 5 then 1.0 else -1.0 end", 0.001),
+    "O14_l2svm_onevsall": _first_step("2", "m * m", "0", "w * w"), "O14_l2svm_trained": truths_sql("objective_falls", "stationary"), "O15_elasticnet_svm": _first_step("2", "m * m", "0.25", "0.5 * abs(w) + 0.5 * w * w"),
     "O16_mse": X + SCORES + _RANK + "select round(avg((label - p) * (label - p)), 6) as mse from top", "O17_accuracy": X + SCORES + _RANK + "select round(avg((label = p)::int), 6) as accuracy from top",
     "O18_confusion_table": X + SCORES + _RANK + "select y::integer as y, p::integer as p, coalesce(n, 0) as n from (select a.i as y, b.i as p from range(10) a(i), range(10) b(i)) left join (select label as y, p, count(*) as n from top group by label, p) using (y, p)",
     "O19_accuracy_class_averaged": X + SCORES + _RANK + "select round(avg(a), 6) as accuracy from (select avg((label = p)::int) as a from top group by label)",

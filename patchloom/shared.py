@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -59,6 +60,24 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(context.defaultParallelism * 2)
 
 
+class Timer:
+    """Seconds since the start and since the last lap."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self._start = self._lap = time.perf_counter()
+
+    def lap(self) -> float:
+        now = time.perf_counter()
+        took, self._lap = now - self._lap, now
+        return took
+
+    def total(self) -> float:
+        return time.perf_counter() - self._start
+
+
 def mix64(z: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     z = z.astype(np.uint64, copy=False)

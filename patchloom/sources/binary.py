@@ -27,6 +27,13 @@ def _open(path: str):
     return system, inside
 
 
+def checked_place(spark: SparkSession, *paths: str) -> None:
+    """On a cluster a path needs a scheme: without one, each executor would look at its own disk."""
+    for path in paths:
+        if "://" not in path and not path.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{path} needs a scheme, such as hdfs:// or file:// of a shared folder")
+
+
 @dataclass
 class _Range(InputPartition):
     path: str
@@ -40,37 +47,38 @@ class FixedRecordReader(DataSourceReader):
         self.paths, self.size, self.skip = json.loads(options["paths"]), int(options["size"]), int(options.get("skip", 0))
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
 
-    def _length(self, path: str) -> int:
-        system, inside = _open(path)
-        if path.endswith(".gz"):
-            with system.open_input_stream(inside, compression=None) as f:
-                return len(gzip.decompress(f.read()))
-        return system.get_file_info(inside).size
+    def _records(self, path: str, length: int) -> int:
+        body = length - self.skip
+        if body < 0 or body % self.size:
+            raise ValueError(f"{path} is no file of records of {self.size} bytes after {self.skip}")
+        return body // self.size
 
     def partitions(self):
         out = []
         for no, path in enumerate(self.paths):
-            body = self._length(path) - self.skip
-            if body < 0 or body % self.size:
-                raise ValueError(f"{path} is no file of records of {self.size} bytes after {self.skip}")
-            n, step = body // self.size, max(1, self.range_bytes // self.size)
-            step = n if path.endswith(".gz") else step  # compressed files don't split
-            out += [_Range(path, no, at, min(step, n - at)) for at in range(0, n, max(step, 1))]
+            if path.endswith(".gz"):  # doesn't split, and only its task knows its length
+                out.append(_Range(path, no, 0, -1))
+                continue
+            system, inside = _open(path)
+            n, step = self._records(path, system.get_file_info(inside).size), max(1, self.range_bytes // self.size)
+            out += [_Range(path, no, at, min(step, n - at)) for at in range(0, n, step)]
         return out or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range):
         if not part.count:
             return
         system, inside = _open(part.path)
-        if part.path.endswith(".gz"):
+        count = part.count
+        if count < 0:
             with system.open_input_stream(inside, compression=None) as f:
-                body = gzip.decompress(f.read())[self.skip :]
+                body = gzip.decompress(f.read())
+            count, body = self._records(part.path, len(body)), body[self.skip :]
         else:
             with system.open_input_file(inside) as f:
                 f.seek(self.skip + part.first * self.size)
                 body = f.read(part.count * self.size)
-        for at in range(0, part.count, 4096):
-            n = min(4096, part.count - at)
+        for at in range(0, count, 4096):
+            n = min(4096, count - at)
             ends = np.arange(n + 1, dtype=np.int32) * self.size
             raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes(body[at * self.size : (at + n) * self.size]))])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.file_no, np.int32)), pa.array(np.arange(part.first + at, part.first + at + n)), raw], names=["file_no", "record_no", "record"])
@@ -92,6 +100,7 @@ class FixedRecordSource(DataSource):
 
 def fixed_records(spark: SparkSession, paths: list[str], size: int, skip: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file_no, record_no, record): the files' records in the order of the list."""
+    checked_place(spark, *paths)
     spark.dataSource.register(FixedRecordSource)
     return spark.read.format("fixed_records").options(paths=json.dumps(paths), size=str(size), skip=str(skip), rangebytes=str(range_bytes)).load()
 

@@ -15,20 +15,38 @@ from pyspark.sql import Window as W
 
 from patchloom.operators.tensors import list_column, matrix
 
-# The 14 classes of a published subset of the birds set.
+# The 14 classes of a published subset of the birds set, in its order, which makes the labels.
 BIRD_SUBSET = (
-    "036.Northern_Flicker", "151.Black_capped_Vireo", "152.Blue_headed_Vireo", "153.Philadelphia_Vireo", "154.Red_eyed_Vireo", "155.Warbling_Vireo", "156.White_eyed_Vireo",
-    "157.Yellow_throated_Vireo", "187.American_Three_toed_Woodpecker", "188.Pileated_Woodpecker", "189.Red_bellied_Woodpecker", "190.Red_cockaded_Woodpecker", "191.Red_headed_Woodpecker",
+    "151.Black_capped_Vireo",
+    "152.Blue_headed_Vireo",
+    "153.Philadelphia_Vireo",
+    "154.Red_eyed_Vireo",
+    "155.Warbling_Vireo",
+    "156.White_eyed_Vireo",
+    "157.Yellow_throated_Vireo",
+    "036.Northern_Flicker",
+    "187.American_Three_toed_Woodpecker",
+    "188.Pileated_Woodpecker",
+    "189.Red_bellied_Woodpecker",
+    "190.Red_cockaded_Woodpecker",
+    "191.Red_headed_Woodpecker",
     "192.Downy_Woodpecker",
-)
+)
 
 
 # --- image folders ------------------------------------------------------------------------------------------------
 
 
-def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+def any_case(extensions: tuple[str, ...]) -> str:
+    """A file pattern for the extensions in any case, so that other files are listed but never opened."""
+    letter = lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else c
+    return "*.{" + ",".join("".join(map(letter, e.lstrip("."))) for e in extensions) + "}"
+
+
+def decoded_images(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """(path, h, w, c, data) of image files in RGB order; a file that can't be decoded has h of -1 and no data."""
-    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    source = spark.read.format("image").option("dropInvalid", False)
+    raw = (source.option("pathGlobFilter", any_case(extensions)) if extensions else source).load(path).select("image.*")
     rows = raw.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), "data")
 
     def run(batches):
@@ -46,12 +64,10 @@ def decoded_images(spark: SparkSession, path: str) -> DataFrame:
 
 def two_layer_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp")) -> DataFrame:
     """root/class/file -> (path, class_name, label, h, w, c, data). label: the rank of the class name. Extensions match in any case."""
-    files = decoded_images(spark, f"{root}/*/*")
-    kept = files.where(F.lower("path").rlike(r"\.(" + "|".join(e.lower().lstrip(".") for e in extensions) + r")$"))
-    parts = F.split(F.col("path"), "/")
-    named = kept.withColumn("class_name", F.element_at(parts, -2))
-    labels = named.select("class_name").distinct().withColumn("label", (F.row_number().over(W.orderBy("class_name")) - 1).cast("int"))  # as many rows as classes
-    return named.join(F.broadcast(labels), "class_name").select("path", "class_name", "label", "h", "w", "c", "data")
+    named = decoded_images(spark, f"{root}/*/*", extensions).withColumn("class_name", F.element_at(F.split("path", "/"), -2))
+    folders = spark.read.format("binaryFile").option("pathGlobFilter", any_case(extensions)).load(f"{root}/*/*").select(F.element_at(F.split("path", "/"), -2).alias("class_name"))
+    labels = folders.distinct().withColumn("label", (F.row_number().over(W.orderBy("class_name")) - 1).cast("int"))  # as many rows as classes
+    return named.join(labels, "class_name").select("path", "class_name", "label", "h", "w", "c", "data")
 
 
 def broken_images(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +87,11 @@ def png_bytes(image: np.ndarray) -> bytes:
 
 def dump_images(images: DataFrame, folder: str, name: str = "id") -> None:
     """Each image as folder/<name>.png; the task that holds a row writes it, a repeated task writes the same files."""
-    def write(batches):
-        from patchloom.sources.binary import _open
+    from patchloom.sources.binary import _open, checked_place
+
+    checked_place(images.sparkSession, folder)
 
+    def write(batches):
         system, inside = _open(folder)
         for batch in batches:
             for n, h, w, c, data in zip(*(batch.column(k).to_pylist() for k in (name, "h", "w", "c", "data")), strict=True):
@@ -176,8 +194,19 @@ def dump_matrix(df: DataFrame, path: str, parts: int | None = None) -> None:
     (df if parts is None else df.coalesce(parts)).write.mode("overwrite").parquet(path)
 
 
-def load_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_matrix(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """The rows of all parts. numbered: with part and row, the place of a row in the matrix: part by part, row by row."""
+    rows = spark.read.parquet(path)
+    if not numbered:
+        return rows
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    return rows.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
+
+
+def sample_image(spark: SparkSession, side: int = 64) -> DataFrame:
+    """One test picture (id, h, w, c, data) for trying things out: a grey ramp with a checkered pattern of squares of 8."""
+    at = lambda i: (F.floor(i / side) + i % side) * 255 / (4 * (side - 1)) + F.when((F.floor(F.floor(i / side) / 8) + F.floor(i % side / 8)) % 2 == 0, 127.5).otherwise(0.0)
+    return spark.range(1).select("id", F.lit(side).alias("h"), F.lit(side).alias("w"), F.lit(1).alias("c"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), at).alias("data"))
 
 
 def load_npy(spark: SparkSession, pattern: str) -> DataFrame:
@@ -196,8 +225,9 @@ def load_npy(spark: SparkSession, pattern: str) -> DataFrame:
 
 def dump_npy(df: DataFrame, vector: str, folder: str, name: str = "part") -> None:
     """One name-?????-of-?????.npy for each task."""
-    from patchloom.sources.binary import _open
+    from patchloom.sources.binary import _open, checked_place
 
+    checked_place(df.sparkSession, folder)
     total = df.rdd.getNumPartitions()
 
     def write(batches):

@@ -275,7 +275,38 @@ def test_measures(spark, parts):
     assert {tuple(r) for r in evaluate.confusion_table(df, "y", "s", 3).where("n > 0").collect()} == {(1, 1, 1), (1, 0, 1), (0, 2, 1), (0, 0, 1)}
 
 
-def test_sums_come_in_two_steps(spark):
-    df = spark.range(100).repartition(20)
-    got = tensors.sum_partials(df, lambda batches: np.array([float(sum(b.num_rows for b in batches))]), fan_in=3)
-    assert got[0] == 100
+@pytest.mark.parametrize("values", [None, 100_000])
+def test_sums_come_in_slices_and_steps(spark, values):
+    """A thousand tasks; no group of the first step holds more slices than fan_in."""
+    df = spark.range(5000).repartition(1000)
+
+    def partial(batches):
+        rows = float(sum(b.num_rows for b in batches))
+        return rows * np.arange(1.0, 8.0)
+
+    got = tensors.sum_partials(df, partial, values, fan_in=32, slice_values=3)
+    assert got.tolist() == (5000 * np.arange(1.0, 8.0)).tolist()
+    assert tensors.sum_partials(df, lambda batches: np.array([float(sum(b.num_rows for b in batches))]), 1)[0] == 5000
+    assert tensors.sum_partials(df.where("id < 0"), lambda batches: None) is None
+    big = tensors.sum_partials(spark.range(40).repartition(4), lambda batches: np.full(3 * tensors.SLICE_VALUES + 5, float(sum(b.num_rows for b in batches))))
+    assert len(big) == 3 * tensors.SLICE_VALUES + 5 and (big == 40).all()
+
+
+def test_timer():
+    from patchloom.shared import Timer
+
+    t = Timer()
+    assert 0 <= t.lap() <= t.total()
+    t.reset()
+    assert t.lap() < 60
+
+
+def test_mosaic_of_rows_equals_mosaic(spark):
+    x = RNG.random((7, 3, 4, 3))
+    df = spark.createDataFrame([(i, 3, 4, 3, x[i].ravel().tolist()) for i in range(7)], "id long, h int, w int, c int, data array<double>").repartition(3)
+    want = extract.mosaic(x)
+    got = np.full(want.shape, np.nan)
+    for r in extract.mosaic_cells(df, F.col("id"), 7).collect():
+        got[r["i"], r["j"], r["ch"]] = r["v"]
+    assert np.abs(got - want).max() < 1e-9
+    assert extract.mosaic_cells(df.where("id < 0"), F.col("id"), 0).count() == 0

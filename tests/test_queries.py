@@ -47,7 +47,7 @@ def test_entry(spark):
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name, column", [("B4_dump_images_all", "files"), ("A16_verify_images_all", "files")])
+@pytest.mark.parametrize("name, column", [("B4_dump_images", "files"), ("A16_verify_images", "files")])
 def test_files_hold_the_whole_table(spark, name, column):
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
     assert n > 60 and core.all_queries()[name](spark, DATA).first()[column] in (n, n + 1)
@@ -55,4 +55,4 @@ def test_files_hold_the_whole_table(spark, name, column):
 
 def test_folders_hold_the_whole_table(spark):
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    assert n > 60 and core.all_queries()["A3_two_layer_all"](spark, DATA).select("id").distinct().count() == n
+    assert n > 60 and core.all_queries()["A3_two_layer"](spark, DATA).select("id").distinct().count() == n

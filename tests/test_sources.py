@@ -114,7 +114,33 @@ def test_bird_list_names_make_the_round_trip(spark, tmp_path):
 def test_bird_parts_of_all_names(spark):
     from patchloom.queries import files
 
-    rows = files._all_birds(spark, "/root/testdata/sf0.01").where("box_x > 0 and box_y > 0 and box_w > 2 and box_h > 2")
+    rows = files._birds(spark, "/root/testdata/sf0.01").where("box_x > 0 and box_y > 0 and box_w > 2 and box_h > 2")
     odd = {r["image_id"] for r in rows.where("contains(images, ' ') or contains(images, '\\\\')").collect()}
-    have = {r["image_id"] for r in files.QUERIES["A9_bird_parts_all"](spark, "/root/testdata/sf0.01").collect()}
+    have = {r["image_id"] for r in files.QUERIES["A9_bird_parts"](spark, "/root/testdata/sf0.01").collect()}
     assert odd and odd & have
+
+
+def test_other_files_are_never_opened(spark, tmp_path):
+    """Extensions match in any case before anything is decoded; labels rank the folders that have such files."""
+    for name, body in (("b/x.PNG", S.png_bytes(np.full((2, 2), 7.0))), ("a/y.Jpeg", b"broken"), ("c/z.txt", b"text"), ("a/w.gif", b"gif")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = S.two_layer_images(spark, f"file://{tmp_path}").orderBy("label").collect()
+    assert [(r["class_name"], r["label"], r["h"]) for r in rows] == [("a", 0, -1), ("b", 1, 2)]
+
+
+def test_rows_of_matrix_parts_have_their_places(spark, tmp_path):
+    df = spark.range(90).repartitionByRange(4, "id").sortWithinPartitions("id")
+    S.dump_matrix(df, f"file://{tmp_path}/m")
+    rows = S.load_matrix(spark, f"file://{tmp_path}/m", True).orderBy("part", "row").collect()
+    assert [r["id"] for r in rows] == list(range(90)) and len({r["part"] for r in rows}) == 4
+
+
+def test_places_without_a_scheme_are_refused_on_a_cluster():
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="scheme"):
+        B.checked_place(Cluster, "/data/images")
+    B.checked_place(Cluster, "file:///data/images", "hdfs://host/images")
