@@ -102,33 +102,34 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, members
 
 
-def _emitted(columns: list[list[np.ndarray]], names: list[str], key: str):
-    """Rows of a chunk, by what is known of their key: 1 if the chunk has it in several documents, else 0; and a row of kind 2 for each key of kind 1.
+def _emitted(columns: list[list[np.ndarray]], names: list[str], keys: list[str]):
+    """Rows of a chunk, by what is known of their keys: of those that the chunk has in several documents one row is of kind 2 and the others of 1, else 0.
 
-    Of a key that a third of all documents have, a chunk leaves one document at most open, so no task that settles keys gets them all.
+    Of keys that a third of all documents have, a chunk leaves one row (or one document's) to be settled, so no task gets them all.
     """
-    values = dict(zip(names, (np.concatenate(x) for x in columns), strict=True))
-    order = np.argsort(values[key], kind="stable")
+    values = dict(zip(names, (np.concatenate(x).view(np.int64) for x in columns), strict=True))
+    order = np.lexsort([values[c] for c in reversed(keys)])
     values = {c: v[order] for c, v in values.items()}
-    keys, docs = values[key], values["doc_id"]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    docs, new = values["doc_id"], np.zeros(len(order), bool)
+    new[0] = True
+    for c in keys:
+        new[1:] |= values[c][1:] != values[c][:-1]
+    start = np.flatnonzero(new)
     several = np.minimum.reduceat(docs, start) < np.maximum.reduceat(docs, start)
-    kind = np.repeat(several, np.diff(np.r_[start, len(keys)])).astype(np.int32)
-    marks = start[several]
-    rows = np.concatenate((np.arange(len(keys)), marks))
-    kind = np.concatenate((kind, np.full(len(marks), 2, np.int32)))
-    for at in range(0, len(rows), 1 << 16):
-        part = rows[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([*[pa.array(values[c][part].view(np.int64)) for c in names], pa.array(kind[at : at + (1 << 16)])], names=[*names, "kind"])
-
-
-def _in_several(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key stands in several documents. What a chunk knew already is spread by document, only the rest meets by key."""
-    place = F.when(F.col("kind") == 1, F.col("doc_id")).otherwise(F.col(key))
-    of = W.partitionBy("place")
+    kind = np.repeat(several, np.diff(np.r_[start, len(order)])).astype(np.int32)
+    kind[start[several]] = 2
+    for at in range(0, len(order), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([*[pa.array(values[c][part]) for c in names], pa.array(kind[part])], names=[*names, "kind"])
+
+
+def _in_several(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys stand in several documents. What a chunk knew already is spread by document, only the rest meets by key."""
+    place = F.when(F.col("kind") == 1, F.col("doc_id")).otherwise(F.col(keys[0]))
+    of = W.partitionBy("place", *keys[1:])
     open_ = F.when(F.col("kind") == 0, F.col("doc_id"))
     told = rows.withColumn("place", place).withColumn("lo", F.min(open_).over(of)).withColumn("hi", F.max(open_).over(of)).withColumn("marked", F.max(F.col("kind") == 2).over(of))
-    return told.where("kind = 1 or (kind = 0 and (marked or lo < hi))").drop("kind", "place", "lo", "hi", "marked")
+    return told.where("kind > 0 or marked or lo < hi").drop("kind", "place", "lo", "hi", "marked")
 
 
 def _anchor_table(texts: DataFrame, span: int, k: int) -> DataFrame:
@@ -145,10 +146,10 @@ def _anchor_table(texts: DataFrame, span: int, k: int) -> DataFrame:
                 held.append((h.view(np.int64), np.full(len(h), doc, np.int64), pos, link))
                 size += len(h)
                 if size >= CHUNK:
-                    yield from _emitted(list(zip(*held, strict=True)), names, "anchor")
+                    yield from _emitted(list(zip(*held, strict=True)), names, ["anchor"])
                     held, size = [], 0
         if size:
-            yield from _emitted(list(zip(*held, strict=True)), names, "anchor")
+            yield from _emitted(list(zip(*held, strict=True)), names, ["anchor"])
 
     return texts.where(F.length("text") >= span).select("doc_id", "h1", "h2", "text").mapInArrow(scan, "anchor long, doc_id long, pos long, link long, kind int")
 
@@ -158,7 +159,7 @@ def _shared_anchors(texts: DataFrame, members: DataFrame, span: int, k: int) ->
 
     text_id: the class's doc_id. The texts are scanned once; of the anchors, only the few shared ones go on.
     """
-    found = _in_several(_anchor_table(texts, span, k), "anchor").join(members.select("doc_id", F.col("class_id").alias("text_id")), "doc_id")
+    found = _in_several(_anchor_table(texts, span, k), ["anchor"]).join(members.select("doc_id", F.col("class_id").alias("text_id")), "doc_id")
     return materialize(found.groupBy("anchor", "text_id", "pos").agg(F.min("link").alias("link")), "span-anchors")
 
 
@@ -246,13 +247,13 @@ def _windows(texts: DataFrame, places: DataFrame, span: int, k: int) -> DataFram
                     held.append((h.view(np.int64), half, np.full(len(h), i, np.int64), starts, link))
                     size += len(h)
                     if size >= CHUNK:
-                        yield from _emitted(list(zip(*held, strict=True)), names, "window")
+                        yield from _emitted(list(zip(*held, strict=True)), names, ["window", "half"])
                         held, size = [], 0
         if size:
-            yield from _emitted(list(zip(*held, strict=True)), names, "window")
+            yield from _emitted(list(zip(*held, strict=True)), names, ["window", "half"])
 
     seen = _with_places(texts, places).mapInArrow(scan, "window long, half long, doc_id long, pos long, link long, kind int")
-    return _in_several(seen, "window").withColumnRenamed("doc_id", "text_id")
+    return _in_several(seen, ["window", "half"]).withColumnRenamed("doc_id", "text_id")
 
 
 def _sharing_texts(texts: DataFrame, members: DataFrame, span: int, k: int, hot: int) -> DataFrame:
@@ -312,8 +313,6 @@ def shared_lengths(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFram
     """
     texts, rows = _identified(docs)
     windows = _windows(texts, _shared_anchors(texts, rows, span, k).select("text_id", "pos"), span, k)
-    common = windows.groupBy("window", "half").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("window", "half")
-    windows = windows.join(common, ["window", "half"], "left_semi")
     starts = windows.groupBy("text_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     gap = lambda acc, s: F.struct(
         (acc["covered"] + F.least(F.lit(span).cast("long"), s + span - acc["upto"])).alias("covered"),
