@@ -1,10 +1,13 @@
 import itertools
+import os
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from patchloom.llm import split_overlap
 from patchloom.llm.split_overlap import file_name, split_overlaps
+from patchloom.shared import materialize, scratch_path
 
 SCHEMA = "id long, source string, is_train boolean, path string, name int, bucket string"
 
@@ -74,3 +77,34 @@ def test_names(spark):
     paths = ["a/b/C_d-1.x.JPG", "x\\y/Zz.png ", "noext", ".hidden", "trail/", "a/b\\c.d\n", "ümlaut_É9.jpg", ""]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(file_name(F.col("p"))).collect()]
     assert got == [name(p) for p in paths]
+
+
+def alike(n=60):
+    """Names of two classes that have half of their shingles in common, few of them nearer."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdef0123456789") for _ in range(k))
+    rows = [(i, "a", i % 2 == 0, f"x/{'longbilledmarshcurlew' if i % 3 else 'northernflickerofwoods'}{word(20)}.jpg") for i in range(n)]
+    return rows + [(n + i, "b", i % 2 == 1, f"{p[:-5]}z.jpg") for i, _, _, p in rows[::5]]
+
+
+def test_bands_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "ROUND_ROWS", 1)
+    rows = made() + [(20_000 + r[0], *r[1:]) for r in alike()]
+    assert {tuple(r) for r in split_overlaps(frame(spark, rows))[0].collect()} == set(brute(rows))
+
+
+def test_names_of_a_class_do_not_become_rows(spark, monkeypatch):
+    """They share bands, but what is shuffled for names grows with the pairs found, not with the square of a class."""
+    sizes, rows = [], alike(1200)
+    monkeypatch.setattr(split_overlap, "materialize", lambda df, label: sizes.append((label, out := materialize(df, label), out.count())) or out)
+    assert {tuple(r) for r in split_overlaps(frame(spark, rows))[0].collect()} == set(brute(rows))
+    met, found = (sum(n for name, _, n in sizes if name == label) for label in ("overlap-met", "overlap-names"))
+    assert found <= met < 1200 * 1200 // 100
+
+
+def test_tables_that_are_done_are_removed(spark):
+    rows = made(3)
+    folder = scratch_path(spark, "x").removeprefix("file://").rsplit("/", 1)[0]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert split_overlaps(frame(spark, rows))[0].count() == len(brute(rows))
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"overlap-numbered", "overlap-names"}
