@@ -23,8 +23,9 @@ RANGE_BYTES = 32 << 20
 def _open(path: str):
     from pyarrow import fs
 
-    system, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system, inside
+    if path.startswith("file:/"):  # as it stands, with blanks and %, as Hadoop's paths have it
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def checked_place(spark: SparkSession, *paths: str) -> None:

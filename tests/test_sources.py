@@ -144,3 +144,24 @@ def test_places_without_a_scheme_are_refused_on_a_cluster():
     with pytest.raises(ValueError, match="scheme"):
         B.checked_place(Cluster, "/data/images")
     B.checked_place(Cluster, "file:///data/images", "hdfs://host/images")
+
+
+@pytest.fixture
+def cluster(spark, tmp_path, monkeypatch):
+    """The session as it looks on a cluster whose spark.checkpoint.dir has no scheme, and a blank in it."""
+    get = type(spark.conf).get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *rest: f"{tmp_path}/a b" if key == "spark.checkpoint.dir" else get(self, key, *rest))
+    return spark
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["A15_load_matrix_multi"])
+def test_the_shared_folder_needs_no_scheme(cluster, monkeypatch, tmp_path, name):
+    from patchloom import queries
+
+    rows = lambda: sorted(map(tuple, queries.all_queries()[name](cluster, "/root/testdata/sf0.001").collect()))
+    have = rows()
+    assert any((tmp_path / "a b").rglob("*"))
+    monkeypatch.undo()
+    assert have and have == rows()
