@@ -156,7 +156,7 @@ def cluster(spark, tmp_path, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["A15_load_matrix_multi", "A3_two_layer", "A6_mnist", "B4_dump_images", "A16_verify_images", "A5_cifar", "A7_stl10"])
+@pytest.mark.parametrize("name", ["A15_load_matrix_multi", "A3_two_layer", "A6_mnist", "B4_dump_images", "A16_verify_images", "A5_cifar", "A7_stl10", "B5_convert"])
 def test_the_shared_folder_needs_no_scheme(cluster, monkeypatch, tmp_path, name):
     from patchloom import queries
 
