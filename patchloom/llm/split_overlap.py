@@ -114,7 +114,8 @@ def overlapping_names(names: DataFrame, threshold: float = 0.6, n: int = 4, band
     for lo in range(0, bands, at_once):
         keyed = lambda c: usable.where(c).select("name_no", "name").mapInArrow(banded(range(lo, min(lo + at_once, bands))), f"bucket long, name_no long, n int, {' long, '.join(words)} long")  # noqa: B023, E731
         side = lambda s, c: keyed(c).select("bucket", F.col("name_no").alias(f"{c[3:]}_no"), F.col("n").alias(f"{s}_n"), *[F.col(w).alias(f"{s}{w[1:]}") for w in words])  # noqa: B023, E731
-        near = side("t", "in_train").join(side("e", "in_eval"), "bucket").where(_may_reach(threshold))
+        # Spark sizes a side by the names it is made of, not by their bands, and might broadcast it
+        near = side("t", "in_train").hint("merge").join(side("e", "in_eval").hint("merge"), "bucket").where(_may_reach(threshold))
         met.append(materialize(near.select("train_no", "eval_no").distinct(), "overlap-met"))
     named = lambda s: usable.select(F.col("name_no").alias(f"{s}_no"), F.col("name").alias(f"name_{s}"))
     both = F.size(F.array_intersect("a", "b"))

@@ -108,3 +108,12 @@ def test_tables_that_are_done_are_removed(spark):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert split_overlaps(frame(spark, rows))[0].count() == len(brute(rows))
     assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"overlap-numbered", "overlap-names"}
+
+
+def test_bands_are_never_broadcast(spark, monkeypatch):
+    """Spark takes a side for as large as the names, of which it has up to BANDS rows each; the driver can't hold that."""
+    plans, rows = [], made(3)
+    monkeypatch.setattr(split_overlap, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or materialize(df, label))
+    assert {tuple(r) for r in split_overlaps(frame(spark, rows))[0].collect()} == set(brute(rows))
+    met = [plan for label, plan in plans if label == "overlap-met"]
+    assert met and not any("Broadcast" in plan for plan in met)
